@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from residuum.llm import url_rules
+from residuum.llm import quality_votes, url_rules
 
 QUERIES = {
     "op8_url_filters": url_rules.query,
+    "op9_quality_rules": quality_votes.query,
 }
 ORACLES = {
     "op8_url_filters": url_rules.ORACLE,
