@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from residuum.llm import quality_votes, url_rules
+from residuum.llm import quality_votes, source_mix, url_rules
 
 QUERIES = {
+    "op3_source_mix": source_mix.query,
     "op8_url_filters": url_rules.query,
     "op9_quality_rules": quality_votes.query,
 }
