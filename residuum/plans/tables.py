@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,3 +47,21 @@ def forget(spark: SparkSession) -> None:
     """Delete everything that ``materialize`` has left in the shared folder."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/residuum")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the session's Python workers, once per context.
+
+    Python stages refer to its functions by name, wherever the workers run.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_residuum_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    archive = Path(tempfile.mkdtemp(prefix="residuum-"), f"residuum-{uuid.uuid4().hex}.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    atexit.register(shutil.rmtree, archive.parent, ignore_errors=True)
+    context._residuum_shipped = True
