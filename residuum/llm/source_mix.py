@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from residuum.llm.words import words
-from residuum.plans.tables import materialize, table
+from residuum.plans.tables import materialize, ship, table
 
 #: Weights by the sources' order, repeating; the mix's size over all sizes; most of a source over its size.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -147,6 +147,7 @@ def _flight(last: bool):
 
 def decide(sized: DataFrame) -> DataFrame:
     """One row per unit: doc_id, source, size, rows, source_size, target and copies (0, 1 or 2)."""
+    ship(sized.sparkSession)
     kind = sized.schema["doc_id"].dataType
     to = targets(sized)
     beside = to.withColumnRenamed("source", "_source")
