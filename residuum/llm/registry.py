@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from residuum.llm import quality_votes, sequence_packing, source_mix, url_rules
+from residuum.llm import fingerprints, quality_votes, sequence_packing, source_mix, url_rules
 
 QUERIES = {
     "op3_source_mix": source_mix.query,
+    "op5_fingerprints": fingerprints.query,
     "op6_sequence_packing": sequence_packing.query,
     "op8_url_filters": url_rules.query,
     "op9_quality_rules": quality_votes.query,
