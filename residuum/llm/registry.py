@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from residuum.llm import fingerprints, language_id, quality_votes, sequence_packing, source_mix, url_rules
+from residuum.llm import fingerprints, language_id, quality_votes, sequence_packing, source_mix, toxicity, url_rules
 
 QUERIES = {
     "op1_language_id": language_id.query,
     "op3_source_mix": source_mix.query,
+    "op4_toxicity": toxicity.query,
     "op5_fingerprints": fingerprints.query,
     "op6_sequence_packing": sequence_packing.query,
     "op8_url_filters": url_rules.query,
