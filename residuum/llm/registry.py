@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from residuum.llm import fingerprints, jaccard_join, language_id, quality_votes, sequence_packing, source_mix, toxicity, url_rules
+from residuum.llm import fingerprints, html_text, jaccard_join, language_id, quality_votes, sequence_packing, source_mix, toxicity, url_rules
 
 QUERIES = {
     "op1_language_id": language_id.query,
+    "op2_html_text": html_text.query,
     "op3_source_mix": source_mix.query,
     "op4_toxicity": toxicity.query,
     "op5_fingerprints": fingerprints.query,
@@ -15,5 +16,6 @@ QUERIES = {
     "op10_jaccard_join": jaccard_join.query,
 }
 ORACLES = {
+    "op2_html_text": html_text.ORACLE,
     "op8_url_filters": url_rules.ORACLE,
 }
