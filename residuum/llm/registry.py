@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from residuum.llm import fingerprints, html_text, jaccard_join, language_id, quality_votes, sequence_packing, source_mix, toxicity, url_rules
+from residuum.llm import fingerprints, html_text, jaccard_join, language_id, quality_grades, quality_votes, sequence_packing, source_mix, toxicity, url_rules
 
 QUERIES = {
     "op1_language_id": language_id.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_toxicity": toxicity.query,
     "op5_fingerprints": fingerprints.query,
     "op6_sequence_packing": sequence_packing.query,
+    "op7_quality_grades": quality_grades.query,
     "op8_url_filters": url_rules.query,
     "op9_quality_rules": quality_votes.query,
     "op10_jaccard_join": jaccard_join.query,
