@@ -26,7 +26,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,12 +38,12 @@ WIDTH = 4
 PERCENT = 85
 #: Sizes of a band grow by this factor at most.
 BAND = 1.5
-#: Bins of the element counts that go with each class.
-BINS = 64
 #: Classes of a group that are compared in one task; larger groups are cut into blocks.
 BLOCK = 1024
 #: Up to so many rows a list of signatures or of texts is sent to all tasks; longer ones are joined by shuffle.
 BROADCAST_ROWS = 500_000
+#: Sets that are compared with one at once, about.
+TOGETHER = 64
 
 
 def bands(largest: int, factor: float = BAND) -> list[int]:
@@ -88,9 +87,20 @@ def set_key(elements: np.ndarray) -> int:
 
 
 def bin_counts(elements: np.ndarray) -> bytes:
-    """Elements in each of BINS bins. Two sets differ in as many elements as their counts at least."""
-    count = np.bincount((tb.mix64(elements) >> np.uint64(58)).astype(np.int64), minlength=BINS)
-    return np.minimum(count, 65535).astype("<u2").tobytes()
+    """How many elements fall in each bin; there are a power of two of them, more than elements.
+
+    Two sets differ in as many elements as their counts at least. Half as many
+    bins are the sums of the two halves.
+    """
+    bins = 1 << max(4, len(elements).bit_length())
+    count = np.bincount((tb.mix64(elements) & np.uint64(bins - 1)).astype(np.int64), minlength=bins)
+    return np.minimum(count, 255).astype(np.uint8).tobytes()
+
+
+def folded(counts: bytes, bins: int) -> np.ndarray:
+    """The counts in ``bins`` bins; clipped ones stay bounds of what they were."""
+    x = np.frombuffer(counts, np.uint8)
+    return np.minimum(x.reshape(-1, bins).sum(0, dtype=np.int32), 255).astype(np.int16)
 
 
 def _sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -139,58 +149,131 @@ def _may_link(na: np.ndarray, nb: np.ndarray, differ: np.ndarray, percent: int)
     return (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & ((100 + percent) * differ <= (100 - percent) * (na + nb))
 
 
-def _read_counts(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype="<u2").reshape(-1, BINS).astype(np.int32)
+def _differ(a: bytes, b: bytes) -> int:
+    """In how many elements two sets differ at least, by their counts."""
+    bins = min(len(a), len(b))
+    return int(np.abs(folded(a, bins) - folded(b, bins)).sum())
 
 
 def _can_link(percent: int):
     @F.arrow_udf("boolean")
     def check(na: pa.Array, ca: pa.Array, nb: pa.Array, cb: pa.Array) -> pa.Array:
-        a, b = _read_counts(ca.to_pylist()), _read_counts(cb.to_pylist())
-        return pa.array(_may_link(na.to_numpy(zero_copy_only=False), nb.to_numpy(zero_copy_only=False), np.abs(a - b).sum(1), percent))
+        differ = np.array([_differ(a, b) for a, b in zip(ca.to_pylist(), cb.to_pylist(), strict=True)], dtype=np.int64)
+        return pa.array(_may_link(na.to_numpy(zero_copy_only=False), nb.to_numpy(zero_copy_only=False), differ, percent))
 
     return check
 
 
+def _alike(percent: int):
+    """Of a group of sets those that are alike enough with the one of role 0."""
+
+    def run(group: pa.Table) -> pa.Table:
+        role, key = group.column("role").to_numpy(), group.column("key").to_numpy()
+        sets = group.column("elements").combine_chunks()
+        values, ends = sets.values.to_numpy(), sets.offsets.to_numpy()
+        hubs = np.flatnonzero(role == 0)
+        good = []
+        if len(hubs):
+            hub = values[ends[hubs[0]] : ends[hubs[0] + 1]]
+            for i in np.flatnonzero(role == 1):
+                own = values[ends[i] : ends[i + 1]]
+                same = int(np.isin(own, hub, assume_unique=True).sum())
+                if 100 * same >= percent * (len(own) + len(hub) - same):
+                    good.append(key[i])
+        good = np.unique(np.array(good, dtype=np.int64))
+        return pa.table({"a": pa.array(np.full(len(good), key[hubs[0]] if len(hubs) else 0, dtype=np.int64)), "b": pa.array(good)})
+
+    return run
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) of class keys those whose sets are alike enough. Only their texts are read again."""
-    asked = materialize(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct().join(classes.select("key", "rep"), "key"), "asked")
-    texts = docs.select("doc_id", "text").join(_small(asked.select(F.col("rep").alias("doc_id"), F.col("key").alias("asked"))), "doc_id")
+    """Of pairs (a, b) of class keys those whose sets are alike enough.
+
+    Pairs with the same a are compared together, TOGETHER of them at most or so.
+    Only the texts asked for are read again; a set moves once for each group.
+    """
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / TOGETHER).cast("long").alias("groups"))
+    dealt = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).alias("group"))
+    dealt = materialize(dealt, "pairs")
+    wanted = dealt.select("a", "group", F.lit(1).alias("role"), F.col("b").alias("key")).unionByName(
+        dealt.select("a", "group", F.lit(0).alias("role"), F.col("a").alias("key")).distinct()
+    )
+    wanted = materialize(wanted.join(classes.select("key", "rep"), "key").select(F.col("rep").alias("doc_id"), "a", "group", "role", "key"), "asked")
+    texts = docs.select("doc_id", "text").join(_small(wanted), "doc_id").select("text", "a", "group", "role", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
                 found = list(_sets(batch.column(0), width))
-                yield pa.RecordBatch.from_arrays([pa.array([set_key(s) if len(s) else None for s in found], pa.int64()), batch.column(1), _lists(found)], names=["key", "asked", "elements"])
+                # Another text under the same doc_id has another key.
+                own = np.array([len(s) > 0 and set_key(s) == k for s, k in zip(found, batch.column(4).to_pylist(), strict=True)], dtype=bool)
+                kept = batch.filter(pa.array(own))
+                lists = _lists([s for s, k in zip(found, own, strict=True) if k])
+                yield pa.RecordBatch.from_arrays([*kept.columns[1:], lists], names=["a", "group", "role", "key", "elements"])
 
-    # Another text under the same doc_id has another key.
-    sets = texts.select("text", "asked").mapInArrow(run, "key long, asked long, elements array<long>").filter("key = asked").dropDuplicates(["key"]).select("key", "elements")
-    sets = materialize(sets, "shingles")
-    a = sets.select(F.col("key").alias("a"), F.col("elements").alias("ea"))
-    b = sets.select(F.col("key").alias("b"), F.col("elements").alias("eb"))
-    same = F.size(F.array_intersect("ea", "eb"))
-    return pairs.join(a, "a").join(b, "b").filter(100 * same >= percent * (F.size("ea") + F.size("eb") - same)).select("a", "b")
+    sets = texts.mapInArrow(run, "a long, group long, role int, key long, elements array<long>")
+    return sets.groupBy("a", "group").applyInArrow(_alike(percent), "a long, b long")
+
+
+def _compare(group: dict[str, np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Pairs of a block that can link: an outer class with any class of another component.
+
+    Two classes may have several hubs in common; the smallest one's block has the pair.
+    """
+    _, first = np.unique(group["key"], return_index=True)
+    key, n, part, outer, side = (group[c][first] for c in ("key", "n", "component", "outer", "side"))
+    if not outer.any() or len(key) < 2:
+        return []
+    sketches = [group["counts"][k] for k in first]
+    bins = min(map(len, sketches))
+    counts = np.stack([folded(x, bins) for x in sketches])
+    hubs, hub = [set(group["hubs"][k]) for k in first], group["hub"][0]
+    two_sided, pairs = len(np.unique(side)) > 1, []
+    for i in np.flatnonzero(outer):
+        # Blocks with two sides are for pairs across them.
+        other = (part != part[i]) & (~outer | (key > key[i])) & _may_link(n, n[i], 0, percent)
+        if two_sided:
+            other &= side != side[i]
+        j = np.flatnonzero(other)
+        j = j[_may_link(n[j], n[i], np.abs(counts[j] - counts[i]).sum(1, dtype=np.int64), percent)]
+        for k in j:
+            if _may_link(n[k], n[i], _differ(sketches[k], sketches[i]), percent) and min(hubs[i] & hubs[k]) == hub:
+                pairs.append((min(key[i], key[k]), max(key[i], key[k])))
+    return pairs
 
 
 def _across(percent: int):
-    """Pairs of a block that can link: an outer class with any class of another component."""
-
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.drop_duplicates("key").sort_values("key")
-        key, n, part = block["key"].to_numpy(), block["n"].to_numpy(), block["component"].to_numpy()
-        counts, outer, side = _read_counts(block["counts"]), block["outer"].to_numpy(), block["side"].to_numpy()
-        pairs = []
-        for i in np.flatnonzero(outer):
-            # Blocks with two sides are for pairs across them.
-            other = (part != part[i]) & (~outer | (key > key[i]))
-            if len(np.unique(side)) > 1:
-                other &= side != side[i]
-            j = np.flatnonzero(other)
-            j = j[_may_link(n[j], n[i], 0, percent)]
-            j = j[_may_link(n[j], n[i], np.abs(counts[j] - counts[i]).sum(1), percent)]
-            pairs += [(min(key[i], key[k]), max(key[i], key[k])) for k in j]
-        return pd.DataFrame(pairs, columns=["a", "b"], dtype=np.int64)
+    """``_compare`` for each run of rows with the same hub, i and j; partitions are sorted by them."""
+    names = ("hub", "key", "n", "component", "outer", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+            whole = pa.Table.from_batches(rows)
+            group = {c: whole.column(c).to_numpy() for c in names} | {c: whole.column(c).to_pylist() for c in ("counts", "hubs")}
+            marks = np.stack([whole.column(c).to_numpy() for c in ("hub", "i", "j")])
+            cuts = np.concatenate([[0], 1 + np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(0)), [whole.num_rows]])
+            pairs = [p for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b - a > 1 for p in _compare({k: v[a:b] for k, v in group.items()}, percent)]
+            both = np.array(pairs, dtype=np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # The last run of a batch may go on in the next one.
+            marks = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("hub", "i", "j")])
+            last = int(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(0))[-1]) + 1 if (marks[:, 1:] != marks[:, :-1]).any() else 0
+            if last:
+                yield flush([*held, batch.slice(0, last)])
+                held = []
+            elif held and any(held[-1].column(held[-1].schema.get_field_index(c))[-1].as_py() != int(m[0]) for c, m in zip(("hub", "i", "j"), marks, strict=True)):
+                yield flush(held)
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield flush(held)
 
     return run
 
@@ -203,32 +286,35 @@ def links(docs: DataFrame, described: DataFrame, width: int = WIDTH, percent: in
         filled.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min("counts").alias("counts")), "classes"
     )
     rows = filled.select("key", F.explode("signatures").alias("signature"))
-    shared = materialize(rows.groupBy("signature").agg(F.min("key").alias("hub"), F.max("key").alias("last")).filter("hub < last").select("signature", "hub"), "shared")
-    members = materialize(rows.join(_small(shared), "signature").distinct(), "members")
+    shared = rows.groupBy("signature").agg(F.min("key").alias("hub"), F.max("key").alias("last")).filter("hub < last").select("signature", "hub")
+    shared = materialize(shared, "shared")
+    # Signatures with the same hub are one group from here on, each class in it once.
+    members = materialize(rows.join(shared, "signature").select("hub", "key").distinct(), "members")
     sized = classes.select("key", "n", "counts")
     with_a = sized.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca"))
     with_b = sized.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb"))
-    to_hubs = members.filter("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct().join(with_a, "a").join(with_b, "b")
+    to_hubs = members.filter("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).join(with_a, "a").join(with_b, "b")
     to_hubs = materialize(to_hubs.filter(_can_link(percent)("na", "ca", "nb", "cb")).select("a", "b"), "hub-pairs")
     found = materialize(_verified(to_hubs, docs, classes, width, percent), "hub-links")
     first = materialize(components(found), "hub-components")
-    # Groups in which more than one component is left.
+    # Groups in which more than one component is left. In one of two the hub has met the other.
     named = members.join(first.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     named = materialize(named, "named")
-    split = named.groupBy("signature").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size")).filter("least < most")
-    of_hub = named.filter("key = hub").select("signature", F.col("component").alias("of_hub"))
-    split = materialize(split.join(of_hub, "signature").select("signature", "size", "of_hub"), "split")
-    n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    split = named.groupBy("hub").agg(
+        F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size"),
+        F.max(F.when(F.col("key") == F.col("hub"), F.col("component"))).alias("of_hub"),
+    ).filter("least < most and size > 2").select("hub", "size", "of_hub")
+    hubs = named.groupBy("key").agg(F.collect_list("hub").alias("hubs"))
     left = (
-        named.join(_small(split), "signature").join(sized, "key")
+        named.filter("key <> hub").join(split, "hub").join(sized, "key").join(hubs, "key")
         .withColumn("outer", F.col("component") != F.col("of_hub"))
-        .withColumn("blocks", n_blocks).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+        .withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+        .withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("signature", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), F.col("own").alias("side"), "key", "n", "counts", "component", "outer")
+        .select("hub", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), F.col("own").alias("side"), "key", "n", "counts", "component", "outer", "hubs")
     )
-    across = left.groupBy("signature", "i", "j").applyInPandas(_across(percent), "a long, b long").distinct()
-    known = to_hubs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    across = materialize(across.join(known, ["a", "b"], "left_anti"), "across")
+    across = left.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(_across(percent), "a long, b long")
+    across = materialize(across, "across")
     more = _verified(across, docs, classes, width, percent)
     return classes, materialize(components(found.unionByName(more)), "components")
 
