@@ -198,7 +198,7 @@ SELECT ord, 'a_' || l AS key, 'resolved' AS confidence FROM (SELECT ord, unnest(
 UNION ALL SELECT ord, CASE WHEN sure THEN 'own' END, CASE WHEN sure THEN 'verified' ELSE 'dynamic' END FROM f LEFT JOIN g ON f.callee = g.callee AND f.idx = g.idx WHERE sure OR g.callee IS NULL OR NOT complete""",
     "resolve_segments": """
 WITH s AS (
-  SELECT l_orderkey AS expr, l_linenumber * 1000000000 + l_partkey * 10000 + l_suppkey AS pos, CASE WHEN l_returnflag = 'R' THEN 'const' ELSE 'lit' END AS kind,
+  SELECT l_orderkey AS expr, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 10000 + l_suppkey AS pos, CASE WHEN l_returnflag = 'R' THEN 'const' ELSE 'lit' END AS kind,
     CASE WHEN l_returnflag = 'R' THEN 'C' || (l_partkey % 40) ELSE CASE WHEN l_suppkey % 9 = 0 THEN '' ELSE 's' || (l_partkey % 7) END END AS t FROM lineitem),
 v AS (SELECT *, CASE WHEN kind = 'lit' THEN nullif(t, '') WHEN CAST(substr(t, 2) AS INT) % 3 > 0 THEN 'v' || substr(t, 2) END AS val FROM s),
 r AS (SELECT *, min(CASE WHEN val IS NULL THEN pos END) OVER (PARTITION BY expr) AS cut FROM v),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from residuum.functions import paths, sqltext, text
-from residuum.operators import bridge, cleanup, corpus, diff, dims, generator, grading, graph, index, manifest, oracle, resolve, symbols, wrappers
+from residuum.operators import bridge, cleanup, corpus, diff, dims, generator, grading, graph, index, manifest, oracle, resolve, symbols, synth, wrappers
 from residuum.plans.tables import materialize, table
 
 NOW = "2025-01-01T00:00:00Z"
@@ -203,7 +203,7 @@ def _wrapper(spark, d):
 def _resolve(spark, d):
     const = F.col("l_returnflag") == "R"
     segments = table(spark, d, "lineitem").select(
-        F.lit("g").alias("slug"), _s("l_orderkey").alias("expr"), (F.col("l_linenumber") * 10**9 + F.col("l_partkey") * 10**4 + F.col("l_suppkey")).alias("pos"), F.when(const, "const").otherwise("lit").alias("kind"),
+        F.lit("g").alias("slug"), _s("l_orderkey").alias("expr"), (F.col("l_linenumber").cast("long") * 10**9 + F.col("l_partkey") * 10**4 + F.col("l_suppkey")).alias("pos"), F.when(const, "const").otherwise("lit").alias("kind"),
         F.when(const, _cat("C", F.col("l_partkey") % 40)).when(F.col("l_suppkey") % 9 == 0, "").otherwise(_cat("s", F.col("l_partkey") % 7)).alias("text"),
     )
     known = spark.range(40).select(F.lit("g").alias("slug"), F.lit("const").alias("kind"), _cat("C", F.col("id")).alias("name"), _cat("v", F.col("id")).alias("value"), (F.col("id") % 3 == 0).alias("poisoned"))
@@ -413,5 +413,6 @@ QUERIES = {
     "snapshot_diff": _snapshots,
     "manifest_roundtrip": _roundtrip,
     "corpus_stats": _stats,
+    **synth.QUERIES,
 }
-ORACLES = dict(oracle.ORACLES)
+ORACLES = oracle.ORACLES | synth.ORACLES
