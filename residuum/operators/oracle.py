@@ -146,6 +146,8 @@ ch AS (
 """.replace("GROUP_", GROUP)
 
 ORACLES = {
+    "cleaned_share": sql("SELECT type, count(*) AS n, count(*) FILTER (cleaned) AS n_cleaned FROM cleaned GROUP BY type"),
+    "check_gate": sql(f"SELECT slug, letter IN ('D', 'F') OR r < 0.5 AS failed, r < 0.9 AS is_floor FROM (SELECT g.slug, letter, coalesce({_RATE}, 1.0) AS r FROM graded g LEFT JOIN cov ON g.slug = cov.slug)"),
     "flagship": sql("SELECT letter, count(*) AS n, sum(n_left) AS n_left, sum(score) AS total_score, (SELECT count(DISTINCT type || ':' || key) FROM creates) AS n_artifacts FROM graded GROUP BY letter"),
     "coverage_by_plugin": sql(f"SELECT *, {_RATE} AS resolution_rate FROM cov"),
     "pooled_coverage": sql("SELECT sum(write_calls) AS write_calls, sum(n_verified + n_resolved) AS resolved_calls, " + RATE.format(p="sum(n_verified + n_resolved)", t="sum(write_calls)") + " AS resolution_rate FROM cov"),

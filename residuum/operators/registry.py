@@ -356,8 +356,21 @@ def _stats(spark, d):
     return index.stats(docs, _coverage(spark, d), NOW).select(F.to_json("doc").alias("doc"))
 
 
+def _cleaned_share(spark, d):
+    return _cleaned(spark, d).groupBy("type").agg(F.count("*").alias("n"), F.count_if("cleaned").alias("n_cleaned"))
+
+
+def _gate(spark, d):
+    """Whether a slug fails a check for grade D or under half of its writes resolved, and whether its grade is a floor."""
+    rates = _coverage(spark, d).select("slug", "resolution_rate")
+    out = _graded(spark, d)[1].join(rates, "slug", "left").withColumn("rate", F.coalesce("resolution_rate", F.lit(1.0)))
+    return out.select("slug", (grading.fails(F.col("letter"), "D") | (F.col("rate") < 0.5)).alias("failed"), grading.is_floor(F.col("rate")).alias("is_floor"))
+
+
 QUERIES = {
     "flagship": flagship,
+    "cleaned_share": _cleaned_share,
+    "check_gate": _gate,
     "coverage_by_plugin": _coverage,
     "pooled_coverage": lambda s, d: index.pooled(_coverage(s, d)),
     "core_flag": _core_flag,

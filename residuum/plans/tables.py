@@ -40,13 +40,24 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/residuum/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._residuum_path = path
+    return found
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a frame that ``materialize`` made and no later plan reads."""
+    _delete(df.sparkSession, df._residuum_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def forget(spark: SparkSession) -> None:
     """Delete everything that ``materialize`` has left in the shared folder."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/residuum")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_dir(spark)}/residuum")
 
 
 def ship(spark: SparkSession) -> None:
