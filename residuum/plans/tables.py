@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -48,6 +49,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 def discard(df: DataFrame) -> None:
     """Delete the files of a frame that ``materialize`` made and no later plan reads."""
     _delete(df.sparkSession, df._residuum_path)
+    release(df.sparkSession)
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished plans now.
+
+    Spark deletes them once the driver's garbage collector finds that no plan
+    holds them, which may otherwise be long after the next large shuffle.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def _delete(spark: SparkSession, path: str) -> None:
