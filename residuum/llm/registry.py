@@ -19,4 +19,5 @@ QUERIES = {
 ORACLES = {
     "op2_html_text": html_text.ORACLE,
     "op8_url_filters": url_rules.ORACLE,
+    "op10_jaccard_join": jaccard_join.ORACLE,
 }
