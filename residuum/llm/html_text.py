@@ -43,13 +43,15 @@ BROADCAST_HOSTS = 50_000
 CHROME, ARTICLE, OPEN = 0, 1, 2
 
 #: Elements whose content is no text of the page at all.
-_RAW = frozenset("script style noscript template iframe object svg canvas math audio video head".split())
+_RAW = frozenset("script style title noscript template iframe object svg canvas math audio video".split())
+#: Of these, those that swallow the rest of the page if they are never closed.
+_TO_THE_END = frozenset("script style title".split())
 #: Elements that are chrome, wherever they stand.
 _CHROME_TAGS = frozenset("nav footer aside form button select textarea menu dialog".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
-    "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul caption title".split()
+    "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul caption".split()
 )
 #: Elements that another block ends, as their end tags may be left out.
 _LOOSE = frozenset("p dt dd li".split())
@@ -63,8 +65,10 @@ _CHROME_WORDS = frozenset(
     "newsletter subscribe subscription signup login search form "
     "comment comments commentlist disqus respond reply replies discussion share sharing social".split()
 )
-#: Words that say of an element that it holds the article, whatever else they stand with.
-_ARTICLE_WORDS = frozenset("article articlebody story post entry main content body".split())
+#: Words that make a header one of the article.
+_ARTICLE_WORDS = frozenset("article articlebody story post entry content".split())
+#: Names that say what else is on the page, such as has-sidebar.
+_MODIFIER = re.compile(r"\b(?:has|with|no|without)[-_][\w-]+")
 #: Words that make even an article element chrome.
 _FOREIGN_ARTICLE = frozenset("comment comments reply replies related teaser promo ad advert sponsored".split())
 
@@ -75,7 +79,7 @@ _NOT_WORD = re.compile(r"[^a-z0-9]+")
 
 def _says(tag: str, attributes: str) -> tuple[bool, bool]:
     """Whether an element's own markup makes it chrome, and whether it makes it an article."""
-    words: set[str] = set()
+    names: list[set[str]] = []
     hidden = article = False
     if attributes.strip():
         for name, value in _ATTRIBUTE.findall(attributes):
@@ -90,13 +94,16 @@ def _says(tag: str, attributes: str) -> tuple[bool, bool]:
                 article = article or value == "articlebody"
             else:
                 article = article or name == "role" and value in ("main", "article")
-                words.update(_NOT_WORD.split(value))
+                names += [set(_NOT_WORD.split(n)) for n in _MODIFIER.sub(" ", value).split()]
+    words = set().union(*names)
     if tag in ("article", "main"):
         foreign = bool(words & _FOREIGN_ARTICLE) and not words & {"post", "entry", "story"}
         return hidden or foreign, not foreign
     if tag in ("html", "body"):
         return False, False
-    return hidden or tag in _CHROME_TAGS or bool(words & _CHROME_WORDS) and not (article or words & _ARTICLE_WORDS and not words & _FOREIGN_ARTICLE), article
+    # Each name counts by itself; an article's header is part of the article.
+    named = any(n & _CHROME_WORDS - ({"header"} if n & _ARTICLE_WORDS else set()) for n in names)
+    return hidden or tag in _CHROME_TAGS or named and not article, article
 
 
 def blocks(page: str) -> list[tuple[str, int]]:
@@ -147,8 +154,10 @@ def blocks(page: str) -> list[tuple[str, int]]:
             if tag in _RAW:
                 if not whole.endswith("/>"):
                     close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(page, at)
-                    at = size if close is None else close.end()
-                end_block() if tag == "head" else None
+                    if close is not None:
+                        at = close.end()
+                    elif tag in _TO_THE_END:
+                        at = size
                 continue
             if tag == "a":
                 anchors += 1

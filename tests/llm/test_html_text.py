@@ -36,6 +36,8 @@ def test_markup():
     assert text("<p>a<script>var t='</p><p>no';</script><style>p{}</style><!-- <p>no</p> -->b</p>") == "ab"
     assert text('<ul><li><a href="/x">Menu one</a></li><li><a>Two</a></ul><p>see <a>this link</a> and more</p>') == "see this link and more"
     assert text("<p>5 < 6 & 7 &am &unknown;</p>") == "5 < 6 & 7 &am &unknown;"
+    assert text('<html><head><title>T</title><body class="has-sidebar"><div class="content-area with-sidebar"><p>x</p><div class="main-menu">m</div><div class="post-header"><h1>h</h1></div><div class="entry-footer">f</div></div>') == "x\n\nh"
+    assert text("<p>a</p><noscript>never closed<p>b</p>") == "a\n\nnever closed\n\nb"
     assert text("") == "" and text("<!-- never closed") == "" and text("plain") == "plain"
     assert text("<table><tr><td>a</td><td>b</td></tr><tr><td>c</td></tr></table>") == "a b\n\nc"
 
