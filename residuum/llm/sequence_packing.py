@@ -171,7 +171,15 @@ _PLAIN = re.compile("[^\t-\r -~\u00a1-\u024f]")
 _MARK = "<|endoftext|>"
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
+def _whole_tokenizer(vocabulary: str):
+    """The tokenizer of a vocabulary file; only texts that need it load it."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(vocabulary)
+
+
+@lru_cache(maxsize=1)
 def tokenizer(vocabulary: str, ranks: str):
     """A function from a text to its ids, for the vocabulary at these two paths.
 
@@ -181,16 +189,14 @@ def tokenizer(vocabulary: str, ranks: str):
     """
     import public_tokenizers
     import tiktoken
-    from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(vocabulary)
     with open(ranks, "rb") as lines:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
     def encode(text: str) -> np.ndarray:
         if _MARK in text or _PLAIN.search(text):
-            return np.array(whole.encode(text, add_special_tokens=False).ids, dtype="<u4")
+            return np.array(_whole_tokenizer(vocabulary).encode(text, add_special_tokens=False).ids, dtype="<u4")
         return np.asarray(fast.encode_to_numpy(text, disallowed_special=()), dtype="<u4")
 
     return encode

@@ -1,7 +1,7 @@
 """Vectorised passes over the bytes of a batch of texts.
 
 Texts come as Arrow string arrays, whose bytes lie in one buffer; features are
-computed for all of them at once, a few million bytes at a time.
+computed for all of them at once, a few hundred thousand bytes at a time.
 """
 
 from __future__ import annotations
@@ -11,8 +11,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes that are worked on at once, about; a longer text is a piece of its own.
-CHUNK = 1 << 21
+#: Bytes that are worked on at once, about; a longer text is a piece of its own. Arrays of up
+#: to eight bytes for each stay in a worker's memory, so this is small.
+CHUNK = 1 << 18
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
