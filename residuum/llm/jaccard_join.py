@@ -10,8 +10,9 @@ pair also in that of its smallest partner.
 Sets with the same signature are then compared, exactly, but never all with all
 at once. Equal sets are one class, known by a 64-bit key of the set. In each
 signature's group all classes meet the one of the smallest key, the hub. Links
-with hubs join classes into components. Only groups in which several components
-are left need more: there, classes that the hub doesn't reach meet the others,
+with hubs join classes into components, and groups whose hubs are in one
+component become one. Only groups in which several components are left need
+more: there, classes that the hubs don't reach meet the others,
 in blocks of bounded size, and what the counts of elements by bin already tell
 apart is dropped at once. The pairs that remain are compared by their sets, so
 that each link between components is found.
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from residuum.llm import text_bytes as tb
 from residuum.llm.components import components
-from residuum.plans.tables import materialize, ship, table
+from residuum.plans.tables import discard, materialize, release, ship, table
 
 WIDTH = 4
 PERCENT = 85
@@ -87,20 +88,22 @@ def set_key(elements: np.ndarray) -> int:
 
 
 def bin_counts(elements: np.ndarray) -> bytes:
-    """How many elements fall in each bin; there are a power of two of them, more than elements.
+    """How many elements fall in each bin, up to three, in two bits; there are a power of two of bins, more than elements.
 
     Two sets differ in as many elements as their counts at least. Half as many
-    bins are the sums of the two halves.
+    bins are the sums of the two halves, up to three again.
     """
     bins = 1 << max(4, len(elements).bit_length())
     count = np.bincount((tb.mix64(elements) & np.uint64(bins - 1)).astype(np.int64), minlength=bins)
-    return np.minimum(count, 255).astype(np.uint8).tobytes()
+    quarters = np.minimum(count, 3).astype(np.uint8).reshape(4, -1)
+    return (quarters[0] | quarters[1] << 2 | quarters[2] << 4 | quarters[3] << 6).tobytes()
 
 
-def folded(counts: bytes, bins: int) -> np.ndarray:
-    """The counts in ``bins`` bins; clipped ones stay bounds of what they were."""
+def folded(counts: bytes, size: int) -> np.ndarray:
+    """The counts, as many as ``size`` packed bytes hold; a byte has one bin of each quarter."""
     x = np.frombuffer(counts, np.uint8)
-    return np.minimum(x.reshape(-1, bins).sum(0, dtype=np.int32), 255).astype(np.int16)
+    bins = np.concatenate([x & 3, x >> 2 & 3, x >> 4 & 3, x >> 6])
+    return np.minimum(bins.reshape(-1, 4 * size).sum(0, dtype=np.int16), 3)
 
 
 def _sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -151,8 +154,8 @@ def _may_link(na: np.ndarray, nb: np.ndarray, differ: np.ndarray, percent: int)
 
 def _differ(a: bytes, b: bytes) -> int:
     """In how many elements two sets differ at least, by their counts."""
-    bins = min(len(a), len(b))
-    return int(np.abs(folded(a, bins) - folded(b, bins)).sum())
+    size = min(len(a), len(b))
+    return int(np.abs(folded(a, size) - folded(b, size)).sum())
 
 
 def _can_link(percent: int):
@@ -216,44 +219,47 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int,
     return sets.groupBy("a", "group").applyInArrow(_alike(percent), "a long, b long")
 
 
+def _marks(sketches: list[bytes], size: int) -> np.ndarray:
+    """A row of 64-bit words for each sketch: a bit for one or more elements in a bin, one for two or
+    more, one for three. Two rows differ in as many bits as their counts differ by."""
+    counts = np.stack([folded(x, size) for x in sketches])
+    bits = np.packbits(np.concatenate([counts >= 1, counts >= 2, counts >= 3], 1), axis=1)
+    return np.ascontiguousarray(np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8)))).view(np.uint64)
+
+
 def _compare(group: dict[str, np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Pairs of a block that can link: an outer class with any class of another component.
-
-    Two classes may have several hubs in common; the smallest one's block has the pair.
     """
     _, first = np.unique(group["key"], return_index=True)
     key, n, part, outer, side = (group[c][first] for c in ("key", "n", "component", "outer", "side"))
     if not outer.any() or len(key) < 2:
         return []
     sketches = [group["counts"][k] for k in first]
-    bins = min(map(len, sketches))
-    counts = np.stack([folded(x, bins) for x in sketches])
-    hubs, hub = [set(group["hubs"][k]) for k in first], group["hub"][0]
+    marks = _marks(sketches, min(map(len, sketches)))
     two_sided, pairs = len(np.unique(side)) > 1, []
     for i in np.flatnonzero(outer):
+        differ = np.bitwise_count(marks ^ marks[i]).sum(1, dtype=np.int64)
         # Blocks with two sides are for pairs across them.
-        other = (part != part[i]) & (~outer | (key > key[i])) & _may_link(n, n[i], 0, percent)
+        other = (part != part[i]) & (~outer | (key > key[i])) & _may_link(n, n[i], differ, percent)
         if two_sided:
             other &= side != side[i]
-        j = np.flatnonzero(other)
-        j = j[_may_link(n[j], n[i], np.abs(counts[j] - counts[i]).sum(1, dtype=np.int64), percent)]
-        for k in j:
-            if _may_link(n[k], n[i], _differ(sketches[k], sketches[i]), percent) and min(hubs[i] & hubs[k]) == hub:
+        for k in np.flatnonzero(other):
+            if _may_link(n[k], n[i], _differ(sketches[k], sketches[i]), percent):
                 pairs.append((min(key[i], key[k]), max(key[i], key[k])))
     return pairs
 
 
 def _across(percent: int):
-    """``_compare`` for each run of rows with the same hub, i and j; partitions are sorted by them."""
-    names = ("hub", "key", "n", "component", "outer", "side")
+    """``_compare`` for each run of rows with the same group, i and j; partitions are sorted by them."""
+    names = ("key", "n", "component", "outer", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def flush(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
             whole = pa.Table.from_batches(rows)
-            group = {c: whole.column(c).to_numpy() for c in names} | {c: whole.column(c).to_pylist() for c in ("counts", "hubs")}
-            marks = np.stack([whole.column(c).to_numpy() for c in ("hub", "i", "j")])
+            group = {c: whole.column(c).to_numpy() for c in names} | {"counts": whole.column("counts").to_pylist()}
+            marks = np.stack([whole.column(c).to_numpy() for c in ("group", "i", "j")])
             cuts = np.concatenate([[0], 1 + np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(0)), [whole.num_rows]])
             pairs = [p for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b - a > 1 for p in _compare({k: v[a:b] for k, v in group.items()}, percent)]
             both = np.array(pairs, dtype=np.int64).reshape(-1, 2)
@@ -263,12 +269,12 @@ def _across(percent: int):
             if not batch.num_rows:
                 continue
             # The last run of a batch may go on in the next one.
-            marks = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("hub", "i", "j")])
+            marks = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("group", "i", "j")])
             last = int(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(0))[-1]) + 1 if (marks[:, 1:] != marks[:, :-1]).any() else 0
             if last:
                 yield flush([*held, batch.slice(0, last)])
                 held = []
-            elif held and any(held[-1].column(held[-1].schema.get_field_index(c))[-1].as_py() != int(m[0]) for c, m in zip(("hub", "i", "j"), marks, strict=True)):
+            elif held and any(held[-1].column(held[-1].schema.get_field_index(c))[-1].as_py() != int(m[0]) for c, m in zip(("group", "i", "j"), marks, strict=True)):
                 yield flush(held)
                 held = []
             held.append(batch.slice(last))
@@ -278,9 +284,9 @@ def _across(percent: int):
     return run
 
 
-def links(docs: DataFrame, described: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(classes, components): key, rep (smallest doc_id), n, counts of each class; node, component
-    of the classes that link with another."""
+def groups(described: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(classes, members): key, rep (smallest doc_id), n, counts of each class; hub, key of the
+    classes that share a signature whose smallest key is the hub, each once, the hub too."""
     filled = described.filter("n_shingles > 0")
     classes = materialize(
         filled.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min("counts").alias("counts")), "classes"
@@ -288,48 +294,61 @@ def links(docs: DataFrame, described: DataFrame, width: int = WIDTH, percent: in
     rows = filled.select("key", F.explode("signatures").alias("signature"))
     shared = rows.groupBy("signature").agg(F.min("key").alias("hub"), F.max("key").alias("last")).filter("hub < last").select("signature", "hub")
     shared = materialize(shared, "shared")
-    # Signatures with the same hub are one group from here on, each class in it once.
+    release(described.sparkSession)
+    # Signatures with the same hub are one group from here on.
     members = materialize(rows.join(shared, "signature").select("hub", "key").distinct(), "members")
+    discard(shared)
+    return classes, members
+
+
+def links(docs: DataFrame, classes: DataFrame, members: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """node, component of the classes that link with another."""
     sized = classes.select("key", "n", "counts")
     with_a = sized.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca"))
     with_b = sized.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb"))
     to_hubs = members.filter("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).join(with_a, "a").join(with_b, "b")
     to_hubs = materialize(to_hubs.filter(_can_link(percent)("na", "ca", "nb", "cb")).select("a", "b"), "hub-pairs")
+    release(docs.sparkSession)
     found = materialize(_verified(to_hubs, docs, classes, width, percent), "hub-links")
     first = materialize(components(found), "hub-components")
-    # Groups in which more than one component is left. In one of two the hub has met the other.
-    named = members.join(first.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    # Hubs of one component make one group. Groups in which more than one component is left:
+    of_hub = first.select(F.col("node").alias("hub"), F.col("component").alias("group"))
+    named = members.join(of_hub, "hub", "left").select(F.coalesce("group", "hub").alias("group"), "key").distinct()
+    named = named.join(first.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     named = materialize(named, "named")
-    split = named.groupBy("hub").agg(
-        F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size"),
-        F.max(F.when(F.col("key") == F.col("hub"), F.col("component"))).alias("of_hub"),
-    ).filter("least < most and size > 2").select("hub", "size", "of_hub")
-    hubs = named.groupBy("key").agg(F.collect_list("hub").alias("hubs"))
+    release(docs.sparkSession)
+    # In one of two classes the hub has met the other.
+    split = named.groupBy("group").agg(F.count_if(F.col("component") != F.col("group")).alias("outside"), F.count("*").alias("size")).filter("outside > 0 and size > 2")
     left = (
-        named.filter("key <> hub").join(split, "hub").join(sized, "key").join(hubs, "key")
-        .withColumn("outer", F.col("component") != F.col("of_hub"))
+        named.join(split.select("group", "size"), "group").join(sized, "key")
+        .withColumn("outer", F.col("component") != F.col("group"))
         .withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
         .withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("hub", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), F.col("own").alias("side"), "key", "n", "counts", "component", "outer", "hubs")
+        .select("group", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), F.col("own").alias("side"), "key", "n", "counts", "component", "outer")
     )
-    across = left.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(_across(percent), "a long, b long")
-    across = materialize(across, "across")
+    across = left.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(_across(percent), "a long, b long")
+    across = materialize(across.distinct(), "across")
+    release(docs.sparkSession)
     more = _verified(across, docs, classes, width, percent)
-    return classes, materialize(components(found.unionByName(more)), "components")
+    return materialize(components(found.unionByName(more)), "components")
 
 
 def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of each row."""
     ship(docs.sparkSession)
     described = materialize(describe(docs, width, percent), "sets")
-    classes, linked = links(docs, described, width, percent)
+    keys = materialize(described.select("doc_id", "n_shingles", "key"), "keys")
+    classes, members = groups(described)
+    # Signatures take more room than all that follows.
+    discard(described)
+    linked = links(docs, classes, members, width, percent)
     named = classes.select("key", "rep").join(linked.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     named = materialize(named, "class-components")
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     label = named.join(least, "component").select(F.col("key").alias("_key"), "component_id")
     return (
-        described.select("doc_id", "n_shingles", "key").join(label, F.col("key") == F.col("_key"), "left")
+        keys.join(label, F.col("key") == F.col("_key"), "left")
         .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     )
 
@@ -346,3 +365,18 @@ def first_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -
 def query(spark, sf_dir):
     """Components of all documents: 4-word shingles, likeness of 85 % or more."""
     return join(table(spark, sf_dir, "documents"))
+
+
+#: All pairs that share a shingle, counted, and the closure of the links.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS m FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.m = e.a)
+SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(m) AS component_id FROM r LEFT JOIN n ON r.doc_id = n.doc_id GROUP BY r.doc_id"""
