@@ -20,6 +20,7 @@ for the suffix array, so copies don't cancel each other. No rows in, no rows out
 
 from __future__ import annotations
 
+import hashlib
 import html as references
 import re
 from collections.abc import Iterator
@@ -37,10 +38,14 @@ from residuum.plans.tables import materialize, ship, table
 RUN = 8
 MIN_PAGES = 3
 CHUNK = 256
+#: Tokens of a run's parts, and chunks of a large host for each part that its values go to.
+GRAM = 5
+CHUNKS_A_PART = 16
 #: Up to so many hosts of more than CHUNK pages their table is sent to all tasks; more are joined by shuffle.
 BROADCAST_HOSTS = 50_000
 
 CHROME, ARTICLE, OPEN = 0, 1, 2
+_RADIX = np.uint64(0x5851F42D4C957F2D)
 
 #: Elements whose content is no text of the page at all.
 _RAW = frozenset("script style title noscript template iframe object svg canvas math audio video".split())
@@ -261,6 +266,42 @@ def repeated(streams: list[np.ndarray], run: int = RUN, pages: int = MIN_PAGES)
     return [covered[a : a + k] for a, k in zip(starts[:-1], lengths, strict=True)]
 
 
+def content(stream: np.ndarray) -> np.uint64:
+    """A hash of a whole stream."""
+    return np.uint64(int.from_bytes(hashlib.blake2b(stream.tobytes(), digest_size=8).digest(), "little"))
+
+
+def runs(streams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each run of RUN tokens its place in the joined streams, its stream, its hash and its least part's hash."""
+    lengths = np.array([len(s) for s in streams], dtype=np.int64)
+    joined = np.concatenate([*streams, np.zeros(0, np.uint64)]).astype(np.uint64)
+    ends = np.repeat(np.cumsum(lengths), lengths)
+    n, step = max(0, len(joined) - GRAM + 1), RUN - GRAM
+    parts = np.zeros(n, np.uint64)
+    for k in range(GRAM):
+        parts = tb.mix64(parts * _RADIX + joined[k : k + n] + np.uint64(k + 1))
+    n = max(0, n - step)
+    at = np.flatnonzero(np.arange(n) + RUN <= ends[:n])
+    least = parts[:n]
+    for k in range(1, step + 1):
+        least = np.minimum(least, parts[k : k + n])
+    # The first and the last part cover the run.
+    whole = tb.mix64(parts[:n] * _RADIX + parts[step : step + n])
+    return at, np.repeat(np.arange(len(streams)), lengths)[at], whole[at], tb.mix64(least[at])
+
+
+def _few(values: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different pairs, at most MIN_PAGES of each value, ordered by value."""
+    order = np.lexsort((who, values))
+    values, who = values[order], who[order]
+    new = np.ones(len(values), dtype=bool)
+    new[1:] = (values[1:] != values[:-1]) | (who[1:] != who[:-1])
+    values, who = values[new], who[new]
+    kept = np.ones(len(values), dtype=bool)
+    kept[MIN_PAGES:] = values[MIN_PAGES:] != values[:-MIN_PAGES]
+    return values[kept], who[kept]
+
+
 def _text(texts: list[str], states: list[int], covered: np.ndarray) -> str:
     """Blocks of the article whole, and of open ones what isn't covered, joined in page order."""
     out, at = [], 0
@@ -286,25 +327,144 @@ def _tokens(texts: list[str]) -> np.ndarray:
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each host and chunk of a batch, with its parsed pages."""
     kinds = pa.list_(pa.string()), pa.list_(pa.int8())
     for batch in batches:
-        texts, states = [], []
-        for page in batch.column(batch.num_columns - 1):
-            found = blocks(page.as_py() or "")
-            texts.append([t for t, _ in found])
-            states.append([s for _, s in found])
-        columns = [batch.column(k) for k in range(batch.num_columns - 1)]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, kinds[0]), pa.array(states, kinds[1])], names=[*batch.schema.names[:-1], "texts", "states"])
+        where: dict[tuple, list[int]] = {}
+        for k, key in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_host", "_chunk", "_chunks")), strict=True)):
+            where.setdefault(key, []).append(k)
+        packed = []
+        for rows in where.values():
+            own = batch.take(pa.array(rows))
+            found = [blocks(page.as_py() or "") for page in own.column("html")]
+            texts, states = [[t for t, _ in f] for f in found], [[s for _, s in f] for f in found]
+            columns = [own.column("page_id"), own.column("url"), pa.array(texts, kinds[0]), pa.array(states, kinds[1])]
+            packed.append(_pack(pa.Table.from_arrays(columns, names=["page_id", "url", "texts", "states"])))
+        keys = [pa.array([key[k] for key in where], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.int64()))]
+        yield pa.RecordBatch.from_arrays([*keys, pa.array(packed, pa.binary())], names=["_host", "_chunk", "_chunks", "pages"])
+
+
+def _pack(pages: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, pages.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(pages)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpack(packed: pa.Table) -> pa.Table:
+    return pa.concat_tables(pa.ipc.open_stream(p.as_buffer()).read_all() for p in packed.column("pages"))
+
+
+def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind)
+
+
+_SENT = "_host string, _part long, _chunk long, values binary, who binary"
+_BACK = "_host string, _chunk long, values binary"
+
+
+def _send(packed: pa.Table, values: np.ndarray, who: np.ndarray, part: np.ndarray) -> pa.Table:
+    """A row for each part that has values."""
+    order = np.argsort(part, kind="stable")
+    parts, first = np.unique(part[order], return_index=True)
+    groups = np.split(order, first[1:]) if len(parts) else []
+    host, chunk = packed.column("_host")[0].as_py(), packed.column("_chunk")[0].as_py()
+    columns = [[host] * len(groups), parts.tolist(), [chunk] * len(groups), [values[g].tobytes() for g in groups], [who[g].tobytes() for g in groups]]
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["_host", "_part", "_chunk", "values", "who"])
+
+
+def _parts_of(packed: pa.Table) -> np.uint64:
+    """Parts of a host's values, 0 if it has one chunk."""
+    chunks = packed.column("_chunks")[0].as_py() if len(packed) else 1
+    return np.uint64(-(-chunks // CHUNKS_A_PART) if chunks > 1 else 0)
+
+
+_NONE = np.zeros(0, np.uint64)
+_HALF = np.uint64(32)
+
+
+def _streams(packed: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
+    """Token streams of a chunk's pages, and the hashes of their contents."""
+    streams = [_tokens(t) for t in _unpack(packed).column("texts").to_pylist()]
+    return streams, np.array([content(s) for s in streams], dtype=np.uint64)
+
+
+def _key(least: np.ndarray, parts: np.uint64) -> np.ndarray:
+    """Part in the upper half, 32 bits of the value in the lower."""
+    return ((least >> _HALF) % parts << _HALF) | (least & np.uint64(0xFFFFFFFF))
+
+
+def _first(packed: pa.Table) -> pa.Table:
+    """Least parts of all runs, as often as pages of different content of the chunk have them."""
+    parts = _parts_of(packed)
+    if not parts:
+        return _send(packed, _NONE, _NONE, _NONE)
+    streams, contents = _streams(packed)
+    _, page, _, least = runs(streams)
+    keys, _ = _few(_key(least, parts), contents[page])
+    return _send(packed, keys.astype(np.uint32), np.zeros((len(keys), 0), np.uint8), (keys >> _HALF).astype(np.int64))
+
+
+def _often(sent: pa.Table) -> pa.Table:
+    """To each chunk those of its values that may be on MIN_PAGES pages; contents of several chunks count in each."""
+    values = _joined(sent.column("values"), np.uint32)
+    found, n = np.unique(values, return_counts=True)
+    return _answer(sent, found[n >= MIN_PAGES], np.uint32)
+
+
+def _answer(sent: pa.Table, shared: np.ndarray, kind: type) -> pa.Table:
+    part = np.uint64(sent.column("_part")[0].as_py()) << _HALF
+    chunks, out = [], []
+    for chunk, own in zip(sent.column("_chunk").to_pylist(), sent.column("values").to_pylist(), strict=True):
+        both = np.intersect1d(np.frombuffer(own, dtype=kind), shared)
+        if len(both):
+            chunks.append(chunk)
+            out.append((both.astype(np.uint64) | part if kind is np.uint32 else both).tobytes())
+    return pa.Table.from_arrays([pa.array([sent.column("_host")[0].as_py()] * len(out), pa.string()), pa.array(chunks, pa.int64()), pa.array(out, pa.binary())], names=["_host", "_chunk", "values"])
+
+
+def _second(packed: pa.Table, back: pa.Table) -> pa.Table:
+    """Runs whose least part may be on enough pages, with the contents that have them."""
+    parts = _parts_of(packed)
+    if not parts or not len(back):
+        return _send(packed, _NONE, _NONE, _NONE)
+    streams, contents = _streams(packed)
+    _, page, whole, least = runs(streams)
+    may = np.isin(_key(least, parts), _joined(back.column("values"), np.uint64))
+    values, who = _few(whole[may], contents[page[may]])
+    order = np.argsort(who, kind="stable")
+    values, who = values[order], who[order]
+    return _send(packed, values, who, ((values >> _HALF) % parts).astype(np.int64))
+
+
+def _shared(sent: pa.Table) -> pa.Table:
+    """To each chunk those of its runs that MIN_PAGES pages of different content share."""
+    values, _ = _few(_joined(sent.column("values"), np.uint64), _joined(sent.column("who"), np.uint64))
+    found, n = np.unique(values, return_counts=True)
+    return _answer(sent, found[n >= MIN_PAGES], np.uint64)
+
+
+def _covered(streams: list[np.ndarray], shared: np.ndarray) -> list[np.ndarray]:
+    """For each token of each stream whether it lies in one of the shared runs."""
+    at, _, whole, _ = runs(streams)
+    ends = np.cumsum([len(s) for s in streams])
+    begins = at[np.isin(whole, shared)]
+    change = np.zeros(int(ends[-1]) + 1, dtype=np.int64)
+    np.add.at(change, begins, 1)
+    np.add.at(change, begins + RUN, -1)
+    return np.split(np.cumsum(change[:-1]) > 0, ends[:-1])
 
 
-def _by_host(pages: pa.Table) -> pa.Table:
+def _by_host(packed: pa.Table, back: pa.Table) -> pa.Table:
+    pages = _unpack(packed)
     texts, states = pages.column("texts").to_pylist(), pages.column("states").to_pylist()
     streams = [_tokens(t) for t in texts]
-    marks = repeated(streams)
+    marks = _covered(streams, _joined(back.column("values"), np.uint64)) if _parts_of(packed) else repeated(streams)
     out = [_text(t, s, m) for t, s, m in zip(texts, states, marks, strict=True)]
-    kept = pages.select([c for c in pages.column_names if c not in ("texts", "states", "_host", "_chunk")])
     return (
-        kept.append_column("text", pa.array(out, pa.string()))
+        pages.select(["page_id", "url"])
+        .append_column("text", pa.array(out, pa.string()))
         .append_column("n_chars", pa.array([len(t) for t in out], pa.int64()))
         .append_column("n_tokens", pa.array([len(s) for s in streams], pa.int64()))
         .append_column("n_repeated", pa.array([int(m.sum()) for m in marks], pa.int64()))
@@ -318,14 +478,19 @@ def extract(pages: DataFrame) -> DataFrame:
     host = host_of(F.col("url"))
     large = materialize(pages.groupBy(host.alias("_large")).count().filter(F.col("count") > CHUNK), "large-hosts")
     beside = F.broadcast(large) if large.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS else large
-    chunk = F.pmod(F.xxhash64("page_id", "url"), F.ceil(F.coalesce("count", F.lit(1)) / CHUNK).cast("long"))
+    chunks = F.ceil(F.coalesce("count", F.lit(1)) / CHUNK).cast("long")
     dealt = (
         pages.select("page_id", "url", "html", host.alias("_host")).join(beside, F.col("_host") == F.col("_large"), "left")
-        .select("page_id", "url", "_host", chunk.alias("_chunk"), "html")
+        .select("page_id", "url", "_host", F.pmod(F.xxhash64("page_id", "url"), chunks).alias("_chunk"), chunks.alias("_chunks"), "html")
     )
-    ids = f"page_id {kinds['page_id']}, url {kinds['url']}"
-    parsed = dealt.mapInArrow(_parse, f"{ids}, _host string, _chunk long, texts array<string>, states array<tinyint>")
-    return parsed.groupBy("_host", "_chunk").applyInArrow(_by_host, f"{ids}, text string, n_chars long, n_tokens long, n_repeated long")
+    # The packed pages are shuffled once; all three passes read the same exchange.
+    packed = dealt.mapInArrow(_parse, "_host string, _chunk long, _chunks long, pages binary")
+    of_chunk = lambda: packed.groupBy("_host", "_chunk")
+    often = of_chunk().applyInArrow(_first, _SENT).groupBy("_host", "_part").applyInArrow(_often, _BACK)
+    second = of_chunk().cogroup(often.groupBy("_host", "_chunk")).applyInArrow(_second, _SENT)
+    shared = second.groupBy("_host", "_part").applyInArrow(_shared, _BACK)
+    rows = f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long, n_tokens long, n_repeated long"
+    return of_chunk().cogroup(shared.groupBy("_host", "_chunk")).applyInArrow(_by_host, rows)
 
 
 def query(spark, sf_dir):

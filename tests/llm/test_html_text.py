@@ -69,3 +69,24 @@ def test_large_hosts_are_dealt(spark, monkeypatch):
     monkeypatch.setattr(H, "CHUNK", 5)
     df = spark.createDataFrame([(k, f"http://h.com/{k}", f"<p>page {k}</p>") for k in range(40)], "page_id long, url string, html string")
     assert {r["text"] for r in H.extract(df).collect()} == {f"page {k}" for k in range(40)}
+
+
+def test_runs_of_large_hosts_count_over_all_chunks(spark, monkeypatch):
+    rng = random.Random(1)
+    lines = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(12)) for _ in range(60)]
+    said = [[] for _ in range(240)]
+    for k, line in enumerate(lines):
+        for page in rng.sample(range(200), 2 + k % 3):
+            said[page].append(line)
+    for page in range(200, 240):  # copies of other pages are no further pages
+        said[page] = said[page - 150]
+    own = [f"page {k if k < 200 else k - 150} itself" for k in range(240)]
+    rows = [(k, f"http://h.com/{k}", f"<p>{own[k]}</p>" + "".join(f"<p>{x}</p>" for x in said[k])) for k in range(240)]
+    rows += [(300 + k, f"http://small.com/{k}", f"<p>{lines[0]}</p>") for k in range(2)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole = sorted(H.extract(df).collect())
+    monkeypatch.setattr(H, "CHUNK", 5)
+    assert sorted(H.extract(df).collect()) == whole
+    by = {r["page_id"]: r["text"] for r in whole}
+    for k, line in enumerate(lines):
+        assert all((line in by[p]) == (k % 3 == 0) for p in range(240) if line in said[p])
