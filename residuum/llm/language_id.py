@@ -237,7 +237,9 @@ def page_evidence(pages: DataFrame) -> DataFrame:
 
     host = host_of(F.col("url"))
     number = F.regexp_extract(path_of(F.col("url")), r"/(\d{1,18})(?:\.html?)?/?$", 1).try_cast("long")
-    markup = F.regexp_extract(F.substring("html", 1, 4096), r"(?is)<html\b[^>]*?\slang\s*=\s*[\"']?([a-z]{2,3})", 1)
+    # Comments and scripts may show tags that aren't the page's.
+    shown = F.regexp_replace("html", r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)", " ")
+    markup = F.regexp_extract(shown, r"(?is)<html\b[^>]*?\slang\s*=\s*[\"']?([a-z]{2,3})", 1)
     found = pages.select(number.alias("doc_id"), F.struct("page_id", F.nullif(F.lower(markup), F.lit("")).alias("page_declared"), suffix_of(host).alias("page_suffix"), F.nullif(host, F.lit("")).alias("page_host")).alias("page"))
     return found.filter("doc_id is not null").groupBy("doc_id").agg(F.min("page").alias("page")).select("doc_id", "page.page_declared", "page.page_suffix", "page.page_host")
 

@@ -63,3 +63,13 @@ def test_chunks_cover_all_rows():
     texts = pa.array(["x" * 3_000_000, None, "", "abc"] * 3)[1:]
     seen = [bytes(d[a:b]).decode() for _, d, o in tb.chunks(texts) for a, b in zip(o[:-1], o[1:], strict=True)]
     assert seen == [t or "" for t in texts.to_pylist()]
+
+
+def test_markup_language_is_read_wherever_it_stands(spark):
+    pages = [
+        (1, "http://h.com/en/1", f"<!-- {'licence ' * 2000}<html lang='xx'> --><!DOCTYPE html>{' ' * 9000}<html lang='de'><body>x"),
+        (2, "http://h.com/en/2", f"<script>var t = \"<html lang='xx'>\";</script>{'<!-- c -->' * 1000}<html class=a lang=fr>"),
+        (3, "http://h.com/en/3", f"<html>{'text ' * 50_000}"),
+    ]
+    found = L.page_evidence(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r["doc_id"]: r["page_declared"] for r in found} == {1: "de", 2: "fr", 3: None}
