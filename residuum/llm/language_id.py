@@ -8,8 +8,11 @@ address suffixes it stands, and how its share varies by host, where a host
 leans on its domain and the domain on the corpus as far as its own counts are
 few. One more class, "und", has the trigrams of no language.
 
-A text without letters has no language: "und", rejected. A null declaration,
-suffix or host is no evidence. Repeated rows count as often as they stand.
+Every declared language is a class; "EN", "en" and "en-US" are one. Declarations
+and suffixes that are too rare for counts of their own share those of one pool.
+
+A text without letters has no language: "und", rejected. A null, empty or "und"
+declaration and a null suffix or host are no evidence. Repeated rows count as often as they stand.
 Without any declared language no text gets one.
 """
 
@@ -26,9 +29,8 @@ from pyspark.sql import functions as F
 from residuum.llm import text_bytes as tb
 from residuum.plans.tables import materialize, ship, table
 
-#: Bound of the labelled sample: texts for each language, and the most frequent declared languages.
+#: Bound of the labelled sample: texts for each language.
 SAMPLE = 1500
-LANGUAGES = 64
 BITS = 15
 SEED = 23
 UND = "und"
@@ -37,8 +39,9 @@ TEMPER = 0.25
 #: Pseudo-counts of declarations and suffixes, and of the domain behind a host and the corpus behind a domain.
 PSEUDO = 0.5
 LEAN = 20.0
-#: A suffix that is rarer than the most frequent ones counts as "other".
-SUFFIXES = 2000
+#: A suffix that is rarer than so many most frequent ones counts as OTHER; so does a declaration, unless it names a class.
+OWN_COUNTS = 2000
+OTHER = ""
 #: The share of "und" before any evidence, and the posterior that a text needs.
 UND_PRIOR = 1e-4
 KEEP_FROM = 0.5
@@ -54,21 +57,27 @@ class TextModel:
     weights: np.ndarray = field(repr=False)
 
 
+def language_of(declared: Column) -> Column:
+    """A declaration's language: lower case, without region or script; null if it names none."""
+    first = F.regexp_extract(F.lower(declared), r"^\s*([^\s_-]+)", 1)
+    return F.when(~first.isin("", UND), first)
+
+
 def learn_text(docs: DataFrame, text: str = "text", declared: str = "lang", row_id: str = "doc_id") -> TextModel:
-    """Trigram likelihoods from SAMPLE texts or so of each of the LANGUAGES most declared languages.
+    """Trigram likelihoods from SAMPLE texts or so of each declared language.
 
     The sample goes by a hash of the row's id and text; equal texts count once.
     """
     ship(docs.sparkSession)
-    seen = docs.groupBy(F.col(declared).alias("lang")).count().filter("lang is not null and lang != ''")
-    most = {r["lang"]: r["count"] for r in seen.orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    languages = tuple(sorted(most))
+    seen = docs.groupBy(language_of(F.col(declared)).alias("lang")).count().filter("lang is not null")
+    sizes = {r["lang"]: r["count"] for r in seen.collect()}
+    languages = tuple(sorted(sizes))
     if not languages:
         return TextModel((), np.zeros((1, 1 << BITS), np.float32))
-    share = F.create_map(*(x for k, n in most.items() for x in (F.lit(k), F.lit(min(1.0, SAMPLE / n)))))
+    share = _literal({k: min(1.0, SAMPLE / n) for k, n in sizes.items()}, "double")
     draw = F.pmod(F.xxhash64(F.col(row_id), F.lit(SEED)), F.lit(1 << 20)) / float(1 << 20)
-    picked = docs.filter(F.col(declared).isin(*languages)).filter(draw < share[F.col(declared)])
-    picked = picked.select(F.col(declared).alias("lang"), F.col(text).alias("text")).filter("text is not null").dropDuplicates(["text"])
+    picked = docs.filter(draw < F.try_element_at(share, language_of(F.col(declared))))
+    picked = picked.select(language_of(F.col(declared)).alias("lang"), F.col(text).alias("text")).filter("text is not null").dropDuplicates(["text"])
 
     def count(batches):
         total: dict[str, np.ndarray] = {}
@@ -86,8 +95,10 @@ def learn_text(docs: DataFrame, text: str = "text", declared: str = "lang", row_
 
     counted = picked.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     counts = np.full((len(languages) + 1, 1 << BITS), 0.2)
-    for lang, bucket, n in counted.collect():
-        counts[languages.index(lang), bucket] += n
+    found = counted.toArrow()
+    place = {k: i for i, k in enumerate(languages)}
+    rows = np.array([place[k] for k in found.column("lang").to_pylist()], dtype=np.int64)
+    counts[rows, found.column("bucket").to_numpy()] += found.column("n").to_numpy()
     counts[-1] = 1.0
     return TextModel(languages, np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32))
 
@@ -153,34 +164,56 @@ def learn_evidence(scored: DataFrame, model: TextModel) -> Evidence:
         .groupBy("declared", "suffix", "host", "k").agg(F.count("*").alias("n")),
         "language-counts",
     )
-    each = [F.coalesce(F.sum(F.when(F.col("k") == k, F.col("n"))), F.lit(0)).cast("double") for k in range(n)] or [F.lit(0.0)]
 
-    def table_of(column: str, most: int) -> dict[str, list[float]]:
-        known = cube.filter(F.col(column).isNotNull()).groupBy(column).agg(F.array(*each).alias("by"), F.sum("n").alias("n"))
-        rows = {r[0]: r["by"] for r in known.orderBy(F.desc("n"), column).limit(most).collect()}
-        columns = [sum(r[k] for r in rows.values()) + PSEUDO * (len(rows) + 1) for k in range(n)]
+    def counts(frame: DataFrame, *keys: str) -> DataFrame:
+        """keys, n, and "by", the entries of n by k."""
+        by_k = frame.groupBy(*keys, "k").agg(F.sum("n").alias("n"))
+        return by_k.groupBy(*keys).agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("k", F.col("n").cast("double")))).alias("by"))
+
+    def listed(by: dict[int, float]) -> list[float]:
+        return [by.get(k, 0.0) for k in range(n)]
+
+    def table_of(column: str) -> dict[str, list[float]]:
+        known = cube.filter(F.col(column).isNotNull() & (F.col(column) != OTHER))
+        each = counts(known, column)
+        top = each.orderBy(F.desc("n"), column).limit(OWN_COUNTS).collect()
+        if column == "declared":
+            top += each.filter(F.col(column).isin(*model.languages)).collect()
+        rows = {r[0]: listed(r["by"]) for r in top}
+        whole = counts(known).collect()
+        whole = listed(whole[0]["by"] if whole and whole[0]["by"] else {})
+        rows[OTHER] = [whole[k] - sum(r[k] for r in rows.values()) for k in range(n)]
+        columns = [x + PSEUDO * len(rows) for x in whole]
         # "und" declares anything, evenly.
-        return {v: [math.log((r[k] + PSEUDO) / columns[k]) for k in range(n)] + [-math.log(len(rows) + 1)] for v, r in rows.items()}
+        return {v: [math.log((r[k] + PSEUDO) / columns[k]) for k in range(n)] + [-math.log(len(rows))] for v, r in rows.items()}
 
-    total = [float(x) for x in cube.agg(F.array(*each)).first()[0]]
-    share = [(x + 1) / (sum(total[:n]) + n) for x in total[:n]]
+    whole = counts(cube).first()
+    total = listed(whole["by"] if whole and whole["by"] else {})
+    share = [(x + 1) / (sum(total) + n) for x in total]
     corpus = [x * (1 - UND_PRIOR) for x in share] + [UND_PRIOR]
-    by_host = cube.filter("host is not null").groupBy("host").agg(F.array(*each).alias("by")).withColumn("domain", domain_of(F.col("host")))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)), lambda k: F.coalesce(F.try_element_at("by", k), F.lit(0.0))).alias("by")
+    on_hosts = cube.filter("host is not null").withColumn("domain", domain_of(F.col("host")))
+    by_host = counts(on_hosts, "host", "domain").select("host", "domain", dense)
+    by_domain = counts(on_hosts, "domain").select("domain", dense.alias("up"))
     added = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    summed = [F.sum(F.get("by", F.lit(k))) for k in range(n)] or [F.lit(0.0)]
-    by_domain = by_host.groupBy("domain").agg(F.array(*summed).alias("up"))
     lean = F.array(*(F.lit(LEAN * p) for p in share)) if n else F.array(F.lit(0.0))
     size = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
     domains = by_domain.select("domain", F.transform(added(F.col("up"), lean), lambda x: LEAN * x / (size(F.col("up")) + LEAN)).alias("up"))
     prior = F.transform(added(F.col("by"), F.col("up")), lambda x: F.log(x / (size(F.col("by")) + LEAN) * (1 - UND_PRIOR)))
     hosts = materialize(by_host.join(domains, "domain").select(F.col("host").alias("_host"), prior.alias("_prior")), "language-hosts")
-    return Evidence(table_of("declared", 4 * LANGUAGES), table_of("suffix", SUFFIXES), [math.log(x) for x in corpus], hosts, hosts.count())
+    return Evidence(table_of("declared"), table_of("suffix"), [math.log(x) for x in corpus], hosts, hosts.count())
 
 
-def _literal(rows: dict[str, list[float]]) -> Column:
+def _literal(rows: dict, kind: str = "array<double>") -> Column:
     import json
 
-    return F.from_json(F.lit(json.dumps(rows)), "map<string,array<double>>")
+    return F.from_json(F.lit(json.dumps(rows)), f"map<string,{kind}>")
+
+
+def _says(rows: dict[str, list[float]], value: Column, none: Column) -> Column:
+    """A value's row, that of OTHER if it has none; nothing for null or an empty value."""
+    known = _literal(rows)
+    return F.when(value.isNull() | (value == OTHER), none).otherwise(F.coalesce(F.try_element_at(known, value), F.try_element_at(known, F.lit(OTHER))))
 
 
 def fuse(scored: DataFrame, model: TextModel, evidence: Evidence) -> DataFrame:
@@ -194,8 +227,8 @@ def fuse(scored: DataFrame, model: TextModel, evidence: Evidence) -> DataFrame:
     parts = [
         F.transform(F.col("text_says.ll"), lambda x: TEMPER * x),
         host,
-        F.coalesce(F.try_element_at(_literal(evidence.declared), F.coalesce("declared", F.lit(""))), none),
-        F.coalesce(F.try_element_at(_literal(evidence.suffix), F.coalesce("suffix", F.lit(""))), none),
+        _says(evidence.declared, F.col("declared"), none),
+        _says(evidence.suffix, F.col("suffix"), none),
     ]
     total = parts[0]
     for part in parts[1:]:
@@ -215,7 +248,7 @@ def fuse(scored: DataFrame, model: TextModel, evidence: Evidence) -> DataFrame:
 
 def _evidence_of(docs: DataFrame) -> list[Column]:
     """declared, suffix and host as a document's own columns have them."""
-    return [F.lower(docs["lang"]).alias("declared"), suffix_of(docs["source"]).alias("suffix"), F.lower(docs["source"]).alias("host")]
+    return [language_of(docs["lang"]).alias("declared"), suffix_of(docs["source"]).alias("suffix"), F.lower(docs["source"]).alias("host")]
 
 
 def filter_language(docs: DataFrame) -> DataFrame:
@@ -240,7 +273,7 @@ def page_evidence(pages: DataFrame) -> DataFrame:
     # Comments and scripts may show tags that aren't the page's.
     shown = F.regexp_replace("html", r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)", " ")
     markup = F.regexp_extract(shown, r"(?is)<html\b[^>]*?\slang\s*=\s*[\"']?([a-z]{2,3})", 1)
-    found = pages.select(number.alias("doc_id"), F.struct("page_id", F.nullif(F.lower(markup), F.lit("")).alias("page_declared"), suffix_of(host).alias("page_suffix"), F.nullif(host, F.lit("")).alias("page_host")).alias("page"))
+    found = pages.select(number.alias("doc_id"), F.struct("page_id", language_of(markup).alias("page_declared"), suffix_of(host).alias("page_suffix"), F.nullif(host, F.lit("")).alias("page_host")).alias("page"))
     return found.filter("doc_id is not null").groupBy("doc_id").agg(F.min("page").alias("page")).select("doc_id", "page.page_declared", "page.page_suffix", "page.page_host")
 
 

@@ -73,3 +73,28 @@ def test_markup_language_is_read_wherever_it_stands(spark):
     ]
     found = L.page_evidence(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
     assert {r["doc_id"]: r["page_declared"] for r in found} == {1: "de", 2: "fr", 3: None}
+
+
+def test_every_declared_language_is_a_class(spark):
+    names = [f"{a}{b}" for a in "abcdefghijkl" for b in "mnopqrstuv"]
+    rows = [(100 * k + j, f"{c}zq{c} {c}xw{c} {c}kj{c} " * 30 + f"{j}", (c, c.upper(), f" {c}-XX")[j % 3], f"h{j}.com") for k, c in enumerate(names) for j in range(6)]
+    docs = spark.createDataFrame([*rows, (99_999, "12 34", "UND", "h.com")], "doc_id long, text string, lang string, source string")
+    assert L.learn_text(docs).languages == tuple(sorted(names))
+    assert {r["doc_id"] for r in L.filter_language(docs).collect()} == {r[0] for r in rows}
+
+
+def test_rare_declarations_and_suffixes_share_a_row(spark, monkeypatch):
+    monkeypatch.setattr(L, "OWN_COUNTS", 1)
+    model = L.TextModel(("de", "en"), np.zeros((3, 1), np.float32))
+    rows = [("en", "com", 1)] * 30 + [("de", "com", 0)] * 20 + [(f"x{k}", f"s{k}", 0) for k in range(20)]
+    scored = spark.createDataFrame(
+        [(k, (900, [-900.0, -990.0, -2000.0] if w == 0 else [-990.0, -900.0, -2000.0]), d, s, None) for k, (d, s, w) in enumerate(rows)]
+        + [(90, (3, [-30.0, -30.0, -31.0]), None, "s3", None), (91, (3, [-30.0, -30.0, -31.0]), "x5", None, None), (92, (3, [-30.0, -30.0, -31.0]), None, None, None)],
+        "doc_id long, text_says struct<letters long, ll array<double>>, declared string, suffix string, host string",
+    )
+    evidence = L.learn_evidence(scored, model)
+    assert set(evidence.declared) == {"de", "en", L.OTHER} and set(evidence.suffix) == {"com", L.OTHER}
+    for k in range(2):
+        assert math.isclose(sum(math.exp(r[k]) for r in evidence.declared.values()), 1)
+    out = {r["doc_id"]: r for r in L.fuse(scored, model, evidence).collect()}
+    assert out[90]["language"] == out[91]["language"] == "de" and min(out[90]["posterior"], out[91]["posterior"]) > 0.9 > out[92]["posterior"]
