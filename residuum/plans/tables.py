@@ -48,10 +48,11 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return found
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a frame that ``materialize`` made and no later plan reads."""
-    _delete(df.sparkSession, df._residuum_path)
-    release(df.sparkSession)
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of frames that ``materialize`` made and no later plan reads."""
+    for df in frames:
+        _delete(df.sparkSession, df._residuum_path)
+    release(frames[0].sparkSession)
 
 
 def release(spark: SparkSession) -> None:
