@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from residuum.plans.tables import materialize
+from residuum.plans.tables import discard, materialize
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -31,6 +31,7 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         after = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "star")
         moved = after.join(edges, ["u", "v"], "left_anti").limit(1).count() + edges.join(after, ["u", "v"], "left_anti").limit(1).count()
+        discard(large, edges)
         edges = after
         if not moved:
             break

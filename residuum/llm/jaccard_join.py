@@ -1,18 +1,18 @@
 """Self-join of texts on the Jaccard likeness of word shingles, by PartEnum signatures.
 
 Two sets as alike as asked differ in few elements for their sizes. Sizes are
-cut into bands; for a band, the domain of shingles is partitioned (by a hash)
-into one part more than two such sets can differ in elements, so they agree in
-all elements of some part. Each part of a set gives a signature; sets that share
-none aren't alike. Each set takes part in its own band, and as the larger of a
-pair also in that of its smallest partner.
+cut into bands. For a band, the domain of shingles is partitioned (by a hash) on
+two levels: into more than half as many parts as two such sets can differ in
+elements, and each of them into three. So some part has one difference at most,
+and the two sets agree in two of its three smaller parts. Each pair of smaller
+parts gives a signature; sets that share none aren't alike. Each set takes part
+in its own band, and as the larger of a pair also in that of its smallest partner.
 
 Sets with the same signature are then compared, exactly, but never all with all
 at once. Equal sets are one class, known by a 64-bit key of the set. In each
 signature's group all classes meet the one of the smallest key, the hub. Links
-with hubs join classes into components, and groups whose hubs are in one
-component become one. Only groups in which several components are left need
-more: there, classes that the hubs don't reach meet the others,
+with hubs join classes into components. Only groups in which several components
+are left need more: there, classes outside the hub's component meet the others,
 in blocks of bounded size, and what the counts of elements by bin already tell
 apart is dropped at once. The pairs that remain are compared by their sets, so
 that each link between components is found.
@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from residuum.llm import text_bytes as tb
 from residuum.llm.components import components
@@ -39,6 +40,13 @@ WIDTH = 4
 PERCENT = 85
 #: Sizes of a band grow by this factor at most.
 BAND = 1.5
+#: First-level parts that there are beyond the least number, as a factor: so many more signatures are shared.
+SLACK = 1.1
+#: Signatures of fewer elements say little; they are left out where others suffice.
+FEW = 2
+#: Signatures that a worker holds before it deals them to buckets, and those of a bucket, about.
+FLUSH = 1 << 20
+LEAST_BUCKETS = 32
 #: Classes of a group that are compared in one task; larger groups are cut into blocks.
 BLOCK = 1024
 #: Up to so many rows a list of signatures or of texts is sent to all tasks; longer ones are joined by shuffle.
@@ -56,28 +64,49 @@ def bands(largest: int, factor: float = BAND) -> list[int]:
 
 
 _FIRST = np.array(bands(1 << 40))
+#: Pairs of the three second-level parts, and the third bits that name them.
+_SUBSETS = ((0, 1), (0, 2), (1, 2))
 
 
-def schemes(n: int, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """(band, parts) of each band that a set of ``n`` elements takes part in."""
+def schemes(n: int, percent: int = PERCENT) -> list[tuple[int, int, int]]:
+    """(band, first-level parts, shared) of each band that a set of ``n`` elements takes part in.
+
+    Alike sets share ``shared`` signatures of the band at least. With k differences
+    dealt to m parts of three, those do most harm that come to parts without one
+    (three equal pairs become one), then second ones (none is left).
+    """
     least_partner = -(-percent * n // 100)
     found = []
-    for band in sorted({int(np.searchsorted(_FIRST, s, side="right")) - 1 for s in (least_partner, n)}):
+    for band in range(*(int(np.searchsorted(_FIRST, s, side="right")) - 1 + more for s, more in ((least_partner, 0), (n, 1)))):
         top = int(_FIRST[band + 1]) - 1
         differ = (100 - percent) * (top + 100 * top // percent) // (100 + percent)
-        found.append((band, differ + 1))
+        parts = max(differ // 2 + 1, round(SLACK * differ / 2))
+        found.append((band, parts, 3 * parts - 2 * differ if differ <= parts else 2 * parts - differ))
     return found
 
 
 def signatures(elements: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Signatures of a set of 64-bit elements: one for each part of each of its bands."""
+    """Signatures of a set of 64-bit elements: three for each first-level part of each of its bands.
+
+    Signatures of few elements, or none, are left out where fewer of them are
+    there than alike sets share: then alike sets share another one.
+    """
     found = []
-    for band, parts in schemes(len(elements), percent):
+    for band, parts, shared in schemes(len(elements), percent):
         x = tb.mix64(elements ^ np.uint64(band * 7919 + 1))
-        part = ((x >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-        out = tb.mix64(np.arange(parts, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band + 1))
-        np.add.at(out, part, tb.mix64(x + np.uint64(5)))
-        found.append(tb.mix64(out))
+        part = ((x >> np.uint64(32)) % np.uint64(3 * parts)).astype(np.int64)
+        count = np.bincount(part, minlength=3 * parts).reshape(parts, 3)
+        content = np.zeros(3 * parts, np.uint64)
+        np.add.at(content, part, tb.mix64(x + np.uint64(5)))
+        content = content.reshape(parts, 3)
+        held = np.concatenate([count[:, a] + count[:, b] for a, b in _SUBSETS])
+        name = tb.mix64(np.arange(3 * parts, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band + 1))
+        out = tb.mix64(np.concatenate([content[:, a] + content[:, b] for a, b in _SUBSETS]) + name)
+        for few in range(FEW, 0, -1):
+            if np.count_nonzero(held < few) < shared:
+                out = out[held >= few]
+                break
+        found.append(out)
     return np.concatenate(found)
 
 
@@ -120,26 +149,112 @@ def _lists(values: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *values]).astype(np.int64)))
 
 
-def describe(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, key, counts, signatures of each text; the last three null for an empty set."""
+def describe(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """doc_id, n_shingles, key, counts of each text; the last two null for an empty set."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                n, keys, counts, found = [], [], [], []
+                n, keys, counts = [], [], []
                 for s in _sets(batch.column(1), width):
                     n.append(len(s))
                     keys.append(set_key(s) if len(s) else None)
                     counts.append(bin_counts(s) if len(s) else None)
-                    found.append(signatures(s, percent) if len(s) else np.zeros(0, np.uint64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(counts, pa.binary()), _lists(found)],
-                    names=["doc_id", "n_shingles", "key", "counts", "signatures"],
+                    [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(counts, pa.binary())],
+                    names=["doc_id", "n_shingles", "key", "counts"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, key long, counts binary, signatures array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, key long, counts binary")
+
+
+_BLOCK = "bucket long, keys binary, each binary, signatures binary"
+
+
+def _block(bucket: int, signature: np.ndarray, key: np.ndarray) -> tuple[int, bytes, bytes, bytes]:
+    """Rows of (signature, key) in one row: runs of a key have it once, with the run's length."""
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return bucket, key[first].tobytes(), np.diff(np.append(first, len(key))).astype(np.uint32).tobytes(), signature.tobytes()
+
+
+def _unblock(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures and keys of blocks."""
+    def whole(name: str, kind: type) -> np.ndarray:
+        return np.frombuffer(b"".join(group.column(name).to_pylist()), kind)
+
+    return whole("signatures", np.uint64), np.repeat(whole("keys", np.int64), whole("each", np.uint32))
+
+
+def _sorted(signature: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs by signature and key, where each signature's run starts, and the runs' lengths."""
+    order = np.lexsort((key, signature))
+    signature, key = signature[order], key[order]
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = (signature[1:] != signature[:-1]) | (key[1:] != key[:-1])
+    signature, key = signature[new], key[new]
+    first = np.flatnonzero(np.concatenate([[True], signature[1:] != signature[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return signature, key, first, np.diff(np.append(first, len(key)))
+
+
+def blocks(docs: DataFrame, buckets: int, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """Signatures of all texts, packed by bucket.
+
+    Of sets that share a signature within a run of texts, the smallest key alone
+    goes on to the signature's bucket, so frequent signatures don't fill it. Such
+    sets are known to share one and form blocks of their own, above all buckets.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = 0
+
+        def flush(found: list[np.ndarray], keys: list[int]) -> pa.RecordBatch:
+            nonlocal turn
+            turn += 1
+            signature, key, first, each = _sorted(np.concatenate(found), np.repeat(np.array(keys, np.int64), [len(f) for f in found]))
+            together = np.repeat(each > 1, each)
+            rows = [_block(buckets + (int(key[0]) + turn) % buckets, signature[together], key[together])] if together.any() else []
+            signature, key = signature[first], key[first]
+            bucket = (signature % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((key, bucket))
+            signature, key, bucket = signature[order], key[order], bucket[order]
+            ends = np.append(np.flatnonzero(np.diff(bucket)) + 1, len(bucket))
+            for a, b in zip(np.append(0, ends[:-1]), ends, strict=True):
+                rows.append(_block(int(bucket[a]), signature[a:b], key[a:b]))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)],
+                names=["bucket", "keys", "each", "signatures"],
+            )
+
+        found, keys, held = [], [], 0
+        for batch in batches:
+            for s in _sets(batch.column(0), width):
+                if len(s):
+                    found.append(signatures(s, percent))
+                    keys.append(set_key(s))
+                    held += len(found[-1])
+                if held >= FLUSH:
+                    yield flush(found, keys)
+                    found, keys, held = [], [], 0
+        if held:
+            yield flush(found, keys)
+
+    return docs.select("text").mapInArrow(run, _BLOCK)
+
+
+def _shared(buckets: int):
+    """(signature, key) of a bucket's signatures that several keys have, or of sets known to share them."""
+
+    def run(group: pa.Table) -> pa.Table:
+        signature, key = _unblock(group)
+        if group.num_rows and group.column("bucket")[0].as_py() < buckets:
+            signature, key, _, each = _sorted(signature, key)
+            several = np.repeat(each > 1, each)
+            signature, key = signature[several], key[several]
+        return pa.table({"signature": signature.view(np.int64), "key": key})
+
+    return run
 
 
 def _small(rows: DataFrame) -> DataFrame:
@@ -216,7 +331,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int,
                 yield pa.RecordBatch.from_arrays([*kept.columns[1:], lists], names=["a", "group", "role", "key", "elements"])
 
     sets = texts.mapInArrow(run, "a long, group long, role int, key long, elements array<long>")
-    return sets.groupBy("a", "group").applyInArrow(_alike(percent), "a long, b long")
+    alike = materialize(sets.groupBy("a", "group").applyInArrow(_alike(percent), "a long, b long"), "alike")
+    discard(dealt, wanted)
+    return alike
 
 
 def _marks(sketches: list[bytes], size: int) -> np.ndarray:
@@ -228,22 +345,19 @@ def _marks(sketches: list[bytes], size: int) -> np.ndarray:
 
 
 def _compare(group: dict[str, np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Pairs of a block that can link: an outer class with any class of another component.
-    """
-    _, first = np.unique(group["key"], return_index=True)
-    key, n, part, outer, side = (group[c][first] for c in ("key", "n", "component", "outer", "side"))
-    if not outer.any() or len(key) < 2:
+    """Pairs of a block that can link: an outer class, of role 0, with one of role 1 and another component."""
+    key, n, part, outer, role = (group[c] for c in ("key", "n", "component", "outer", "role"))
+    mine, others = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+    if not len(mine) or not len(others):
         return []
-    sketches = [group["counts"][k] for k in first]
-    marks = _marks(sketches, min(map(len, sketches)))
-    two_sided, pairs = len(np.unique(side)) > 1, []
-    for i in np.flatnonzero(outer):
-        differ = np.bitwise_count(marks ^ marks[i]).sum(1, dtype=np.int64)
-        # Blocks with two sides are for pairs across them.
-        other = (part != part[i]) & (~outer | (key > key[i])) & _may_link(n, n[i], differ, percent)
-        if two_sided:
-            other &= side != side[i]
-        for k in np.flatnonzero(other):
+    size = min(map(len, group["counts"]))
+    marks, sketches, pairs = _marks(group["counts"], size), group["counts"], []
+    key_b, n_b, part_b, outer_b, marks_b = key[others], n[others], part[others], outer[others], marks[others]
+    for i in mine:
+        # Two outer classes meet in both roles.
+        other = np.flatnonzero((part_b != part[i]) & (~outer_b | (key_b > key[i])))
+        other = other[_may_link(n_b[other], n[i], np.bitwise_count(marks_b[other] ^ marks[i]).sum(1, dtype=np.int64), percent)]
+        for k in others[other]:
             if _may_link(n[k], n[i], _differ(sketches[k], sketches[i]), percent):
                 pairs.append((min(key[i], key[k]), max(key[i], key[k])))
     return pairs
@@ -251,7 +365,7 @@ def _compare(group: dict[str, np.ndarray], percent: int) -> list[tuple[int, int]
 
 def _across(percent: int):
     """``_compare`` for each run of rows with the same group, i and j; partitions are sorted by them."""
-    names = ("key", "n", "component", "outer", "side")
+    names = ("key", "n", "component", "outer", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -284,82 +398,134 @@ def _across(percent: int):
     return run
 
 
-def groups(described: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(classes, members): key, rep (smallest doc_id), n, counts of each class; hub, key of the
-    classes that share a signature whose smallest key is the hub, each once, the hub too."""
+def groups(docs: DataFrame, described: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(classes, members): key, rep (smallest doc_id), n, counts of each class; signature, hub, key of
+    classes that share a signature and of their smallest key. Signatures of the same classes are one."""
     filled = described.filter("n_shingles > 0")
     classes = materialize(
         filled.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min("counts").alias("counts")), "classes"
     )
-    rows = filled.select("key", F.explode("signatures").alias("signature"))
-    shared = rows.groupBy("signature").agg(F.min("key").alias("hub"), F.max("key").alias("last")).filter("hub < last").select("signature", "hub")
-    shared = materialize(shared, "shared")
-    release(described.sparkSession)
-    # Signatures with the same hub are one group from here on.
-    members = materialize(rows.join(shared, "signature").select("hub", "key").distinct(), "members")
+    elements = filled.agg(F.sum("n_shingles")).first()[0] or 0
+    buckets = max(LEAST_BUCKETS, elements // FLUSH)
+    dealt = blocks(docs, buckets, width, percent).groupBy("bucket").applyInArrow(_shared(buckets), "signature long, key long")
+    shared = materialize(dealt, "shared")
+    release(docs.sparkSession)
+    met = materialize(shared.distinct(), "met")
     discard(shared)
+    alike = met.groupBy("signature").agg(
+        F.min("key").alias("hub"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y")
+    )
+    one = alike.groupBy("hub", "size", "x", "y").agg(F.min("signature").alias("signature")).select("signature", "hub")
+    members = materialize(met.join(one, "signature").select("signature", "hub", "key"), "members")
+    discard(met)
     return classes, members
 
 
 def links(docs: DataFrame, classes: DataFrame, members: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """node, component of the classes that link with another."""
+    spark = docs.sparkSession
     sized = classes.select("key", "n", "counts")
     with_a = sized.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca"))
     with_b = sized.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb"))
-    to_hubs = members.filter("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).join(with_a, "a").join(with_b, "b")
+    to_hubs = members.filter("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct().join(with_a, "a").join(with_b, "b")
     to_hubs = materialize(to_hubs.filter(_can_link(percent)("na", "ca", "nb", "cb")).select("a", "b"), "hub-pairs")
-    release(docs.sparkSession)
-    found = materialize(_verified(to_hubs, docs, classes, width, percent), "hub-links")
+    release(spark)
+    found = _verified(to_hubs, docs, classes, width, percent)
+    discard(to_hubs)
     first = materialize(components(found), "hub-components")
-    # Hubs of one component make one group. Groups in which more than one component is left:
-    of_hub = first.select(F.col("node").alias("hub"), F.col("component").alias("group"))
-    named = members.join(of_hub, "hub", "left").select(F.coalesce("group", "hub").alias("group"), "key").distinct()
-    named = named.join(first.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    # Groups in which more than the component of the hub is left:
+    named = members.join(first.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     named = materialize(named, "named")
-    release(docs.sparkSession)
+    of_hub = F.min(F.when(F.col("key") == F.col("hub"), F.col("component")))
+    ends = named.groupBy("signature").agg(of_hub.alias("home"), F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
     # In one of two classes the hub has met the other.
-    split = named.groupBy("group").agg(F.count_if(F.col("component") != F.col("group")).alias("outside"), F.count("*").alias("size")).filter("outside > 0 and size > 2")
-    left = (
-        named.join(split.select("group", "size"), "group").join(sized, "key")
-        .withColumn("outer", F.col("component") != F.col("group"))
-        .withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-        .withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("group", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), F.col("own").alias("side"), "key", "n", "counts", "component", "outer")
+    split = ends.filter("low < high and size > 2").select("signature", "home")
+    rows = named.join(split, "signature").withColumn("outer", F.col("component") != F.col("home"))
+    # The hub has met all others.
+    rows = materialize(rows.filter("key <> hub").select("signature", "key", "component", "outer").join(sized, "key"), "rows")
+    discard(named, first)
+    count = rows.groupBy("signature").agg(
+        F.ceil(F.count_if("outer") / BLOCK).cast("int").alias("outer_blocks"), F.ceil(F.count("*") / BLOCK).cast("int").alias("all_blocks")
     )
-    across = left.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(_across(percent), "a long, b long")
+    rows_in = rows.join(count, "signature")
+
+    def own(blocks: str):
+        return F.pmod(F.xxhash64("key"), F.col(blocks)).cast("int")
+
+    def every(blocks: str):
+        return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+
+    columns = ["signature", "i", "j", "role", "key", "n", "counts", "component", "outer"]
+    left = rows_in.filter("outer").withColumns({"i": own("outer_blocks"), "role": F.lit(0)}).withColumn("j", every("all_blocks")).select(columns)
+    right = rows_in.withColumns({"j": own("all_blocks"), "role": F.lit(1)}).withColumn("i", every("outer_blocks")).select(columns)
+    across = left.unionByName(right).withColumnRenamed("signature", "group")
+    across = across.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(_across(percent), "a long, b long")
     across = materialize(across.distinct(), "across")
-    release(docs.sparkSession)
+    discard(rows)
     more = _verified(across, docs, classes, width, percent)
-    return materialize(components(found.unionByName(more)), "components")
+    discard(across)
+    linked = materialize(components(found.unionByName(more)), "components")
+    discard(found, more)
+    return linked
 
 
-def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of each row."""
+def _labelled(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, key, component (a class, null without words), component_id of each row."""
     ship(docs.sparkSession)
-    described = materialize(describe(docs, width, percent), "sets")
+    described = materialize(describe(docs, width), "sets")
     keys = materialize(described.select("doc_id", "n_shingles", "key"), "keys")
-    classes, members = groups(described)
-    # Signatures take more room than all that follows.
+    classes, members = groups(docs, described, width, percent)
     discard(described)
     linked = links(docs, classes, members, width, percent)
+    discard(members)
     named = classes.select("key", "rep").join(linked.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     named = materialize(named, "class-components")
+    discard(classes, linked)
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    label = named.join(least, "component").select(F.col("key").alias("_key"), "component_id")
+    label = named.join(least, "component").select(F.col("key").alias("_key"), "component", "component_id")
     return (
         keys.join(label, F.col("key") == F.col("_key"), "left")
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        .select("doc_id", "n_shingles", "key", "component", F.coalesce("component_id", "doc_id").alias("component_id"))
     )
 
 
+def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of each row."""
+    return _labelled(docs, width, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def _keyed(docs: DataFrame, name: str, width: int) -> DataFrame:
+    """``docs`` and the key of each one's set as the last column, null for an empty set."""
+    text = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [set_key(s) if len(s) else None for s in _sets(batch.column(text), width)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[*batch.schema.names, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
+
+
 def first_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` less all but the smallest doc_id of each component, with their columns.
+    """One row of each component, with the columns of ``docs``, and all rows without words.
 
-    Of rows with the same doc_id, all stay or go together.
+    It is the row of the smallest doc_id; a null id comes last. Of different
+    texts with that doc_id the one of the smallest key stays, of equal ones any.
     """
-    gone = materialize(join(docs, width, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(_small(gone), docs["doc_id"] == F.col("_gone"), "left_anti")
+    rows = materialize(_labelled(docs, width, percent).drop("n_shingles"), "labelled")
+    # An id names one row, but for ids that are null or repeated: there the text decides too.
+    odd = materialize(rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").select(F.col("doc_id").alias("_id")), "odd-ids")
+    gone = materialize(rows.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id")).unionByName(odd.filter("_id is not null")).distinct(), "gone")
+    kept = docs.filter("doc_id is not null").join(_small(gone), F.col("doc_id") == F.col("_id"), "left_anti")
+    if odd.isEmpty():
+        return kept
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    first = rows.filter("key is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("first"))
+    first = first.select(F.col("first.doc_id").alias("_id"), F.col("first.key").alias("_first"))
+    name = next(f"_key{k}" for k in range(len(docs.columns) + 1) if f"_key{k}" not in docs.columns)
+    texts = materialize(_keyed(docs.join(_small(odd), same, "left_semi"), name, width), "odd-rows")
+    firsts = texts.join(first, same & (F.col(name) == F.col("_first")), "left_semi").dropDuplicates(["doc_id", name])
+    return kept.unionByName(firsts.unionByName(texts.filter(F.col(name).isNull())).drop(name))
 
 
 def query(spark, sf_dir):

@@ -43,6 +43,7 @@ def mutated(rng, words, share):
 def test_components_match_brute_force(spark, monkeypatch, width, percent, block):
     monkeypatch.setattr(J, "BLOCK", block)
     monkeypatch.setattr(J, "TOGETHER", 2)
+    monkeypatch.setattr(J, "FLUSH", 400 * block)
     rng = random.Random(width)
     rows = []
     passage = [f"p{k}" for k in range(40)]
@@ -109,6 +110,29 @@ def test_odd_rows(odd_docs, no_docs):
     assert J.join(no_docs).count() == 0 and J.first_of_each(no_docs).count() == 0
 
 
+def test_one_row_of_each_component_stays(spark):
+    text, near = " ".join(f"w{k}" for k in range(60)), " ".join(f"w{k}" for k in range(59))
+    rows = [(5, text, "a"), (5, text, "a"), (5, "quite another text of its own", "b"), (7, near, "c"), (None, near, "d"),
+            (None, "no other has this text", "e"), (None, "no other has this text", "f"), (None, None, "g"), (None, " ", "h"), (9, "", "i"), (9, "", "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key0 string")
+    kept = sorted((r["_key0"] for r in J.first_of_each(docs).collect()))
+    assert kept[0:2] == ["a", "b"] and kept[2] in "ef" and kept[3:] == ["g", "h", "i", "i"]
+
+
+def test_few_elements_are_left_out_safely():
+    rng = np.random.default_rng(8)
+    for percent in (80, 85):
+        for n in (8, 21, 40, 90, 160, 400):
+            for _ in range(40):
+                a = rng.integers(0, 2**63, n).astype(np.uint64)
+                gone = int(n * (100 - percent) / 100)
+                both = [np.concatenate([a[k:], rng.integers(0, 2**63, max(0, m)).astype(np.uint64)]) for k in (gone, gone // 2) for m in (0, gone // 3)]
+                for b in both:
+                    same = len(np.intersect1d(a, b))
+                    if 100 * same >= percent * (len(a) + len(b) - same):
+                        assert set(J.signatures(a, percent).tolist()) & set(J.signatures(b, percent).tolist())
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(k, k + 1) for k in range(0, 40)] + [(100, 100 + k) for k in range(1, 30)] + [(201, 200), (200, 201), (300, 300)]
     found = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
