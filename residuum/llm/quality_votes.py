@@ -8,7 +8,9 @@ the estimate needs the counts of at most 3 ** 8 vote patterns, whatever the
 input's size.
 
 Null and empty texts have no words: they fail the base test and aren't kept.
-Repeated rows are judged alike. No rows: no rows out.
+Very long texts are read whole. Repeated rows and ties are judged alike, rows
+stay as many as they were. Columns of the input may have any names: the filter
+keeps them apart in a struct. No rows: no rows out.
 """
 
 from __future__ import annotations
@@ -205,12 +207,12 @@ def judge(features: DataFrame, model: LabelModel) -> DataFrame:
 def filter_quality(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text is kept, all their columns, nothing else.
 
-    Texts are read twice and never shuffled: once for the counts of the vote
-    patterns, once to be judged.
+    Features are computed once and written beside their rows; the votes are
+    counted and the rows judged from there. Texts are never shuffled.
     """
-    model = fit_votes(with_features(docs.select("text")))
     held = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["text"].alias("text"))
-    return judge(with_features(held), model).filter("kept").select("row.*")
+    found = materialize(with_features(held).select("row", "quality"), "features")
+    return judge(found, fit_votes(found)).filter("kept").select("row.*")
 
 
 def query(spark, sf_dir):
