@@ -344,6 +344,12 @@ def _marks(sketches: list[bytes], size: int) -> np.ndarray:
     return np.ascontiguousarray(np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8)))).view(np.uint64)
 
 
+def _objects(column: pa.ChunkedArray) -> np.ndarray:
+    found = np.empty(len(column), dtype=object)
+    found[:] = column.to_pylist()
+    return found
+
+
 def _compare(group: dict[str, np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Pairs of a block that can link: an outer class, of role 0, with one of role 1 and another component."""
     key, n, part, outer, role = (group[c] for c in ("key", "n", "component", "outer", "role"))
@@ -353,9 +359,17 @@ def _compare(group: dict[str, np.ndarray], percent: int) -> list[tuple[int, int]
     size = min(map(len, group["counts"]))
     marks, sketches, pairs = _marks(group["counts"], size), group["counts"], []
     key_b, n_b, part_b, outer_b, marks_b = key[others], n[others], part[others], outer[others], marks[others]
+    under: dict[int, list[int]] = {}
+    for at, k in enumerate(others):
+        for hub in group["earlier"][k]:
+            under.setdefault(hub, []).append(at)
+    met = {hub: np.array(at) for hub, at in under.items()}
     for i in mine:
         # Two outer classes meet in both roles.
-        other = np.flatnonzero((part_b != part[i]) & (~outer_b | (key_b > key[i])))
+        new = (part_b != part[i]) & (~outer_b | (key_b > key[i]))
+        for hub in group["earlier"][i]:
+            new[met.get(hub, [])] = False
+        other = np.flatnonzero(new)
         other = other[_may_link(n_b[other], n[i], np.bitwise_count(marks_b[other] ^ marks[i]).sum(1, dtype=np.int64), percent)]
         for k in others[other]:
             if _may_link(n[k], n[i], _differ(sketches[k], sketches[i]), percent):
@@ -364,7 +378,7 @@ def _compare(group: dict[str, np.ndarray], percent: int) -> list[tuple[int, int]
 
 
 def _across(percent: int):
-    """``_compare`` for each run of rows with the same group, i and j; partitions are sorted by them."""
+    """``_compare`` for each run of rows with the same hub, i and j; partitions are sorted by them."""
     names = ("key", "n", "component", "outer", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,8 +386,8 @@ def _across(percent: int):
 
         def flush(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
             whole = pa.Table.from_batches(rows)
-            group = {c: whole.column(c).to_numpy() for c in names} | {"counts": whole.column("counts").to_pylist()}
-            marks = np.stack([whole.column(c).to_numpy() for c in ("group", "i", "j")])
+            group = {c: whole.column(c).to_numpy() for c in names} | {c: _objects(whole.column(c)) for c in ("counts", "earlier")}
+            marks = np.stack([whole.column(c).to_numpy() for c in ("hub", "i", "j")])
             cuts = np.concatenate([[0], 1 + np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(0)), [whole.num_rows]])
             pairs = [p for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b - a > 1 for p in _compare({k: v[a:b] for k, v in group.items()}, percent)]
             both = np.array(pairs, dtype=np.int64).reshape(-1, 2)
@@ -383,12 +397,12 @@ def _across(percent: int):
             if not batch.num_rows:
                 continue
             # The last run of a batch may go on in the next one.
-            marks = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("group", "i", "j")])
+            marks = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("hub", "i", "j")])
             last = int(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(0))[-1]) + 1 if (marks[:, 1:] != marks[:, :-1]).any() else 0
             if last:
                 yield flush([*held, batch.slice(0, last)])
                 held = []
-            elif held and any(held[-1].column(held[-1].schema.get_field_index(c))[-1].as_py() != int(m[0]) for c, m in zip(("group", "i", "j"), marks, strict=True)):
+            elif held and any(held[-1].column(held[-1].schema.get_field_index(c))[-1].as_py() != int(m[0]) for c, m in zip(("hub", "i", "j"), marks, strict=True)):
                 yield flush(held)
                 held = []
             held.append(batch.slice(last))
@@ -399,8 +413,8 @@ def _across(percent: int):
 
 
 def groups(docs: DataFrame, described: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(classes, members): key, rep (smallest doc_id), n, counts of each class; signature, hub, key of
-    classes that share a signature and of their smallest key. Signatures of the same classes are one."""
+    """(classes, members): key, rep (smallest doc_id), n, counts of each class; hub, key of the
+    classes that share a signature whose smallest key is the hub, each once, the hub too."""
     filled = described.filter("n_shingles > 0")
     classes = materialize(
         filled.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min("counts").alias("counts")), "classes"
@@ -410,14 +424,10 @@ def groups(docs: DataFrame, described: DataFrame, width: int = WIDTH, percent: i
     dealt = blocks(docs, buckets, width, percent).groupBy("bucket").applyInArrow(_shared(buckets), "signature long, key long")
     shared = materialize(dealt, "shared")
     release(docs.sparkSession)
-    met = materialize(shared.distinct(), "met")
+    hubs = shared.groupBy("signature").agg(F.min("key").alias("hub"))
+    # Signatures with the same hub are one group from here on.
+    members = materialize(shared.join(hubs, "signature").select("hub", "key").distinct(), "members")
     discard(shared)
-    alike = met.groupBy("signature").agg(
-        F.min("key").alias("hub"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y")
-    )
-    one = alike.groupBy("hub", "size", "x", "y").agg(F.min("signature").alias("signature")).select("signature", "hub")
-    members = materialize(met.join(one, "signature").select("signature", "hub", "key"), "members")
-    discard(met)
     return classes, members
 
 
@@ -427,27 +437,28 @@ def links(docs: DataFrame, classes: DataFrame, members: DataFrame, width: int =
     sized = classes.select("key", "n", "counts")
     with_a = sized.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca"))
     with_b = sized.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb"))
-    to_hubs = members.filter("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct().join(with_a, "a").join(with_b, "b")
+    to_hubs = members.filter("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).join(with_a, "a").join(with_b, "b")
     to_hubs = materialize(to_hubs.filter(_can_link(percent)("na", "ca", "nb", "cb")).select("a", "b"), "hub-pairs")
     release(spark)
     found = _verified(to_hubs, docs, classes, width, percent)
     discard(to_hubs)
     first = materialize(components(found), "hub-components")
-    # Groups in which more than the component of the hub is left:
+    # Groups in which more than the component of the hub is left; the hub has met all others.
     named = members.join(first.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     named = materialize(named, "named")
-    of_hub = F.min(F.when(F.col("key") == F.col("hub"), F.col("component")))
-    ends = named.groupBy("signature").agg(of_hub.alias("home"), F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
-    # In one of two classes the hub has met the other.
-    split = ends.filter("low < high and size > 2").select("signature", "home")
-    rows = named.join(split, "signature").withColumn("outer", F.col("component") != F.col("home"))
-    # The hub has met all others.
-    rows = materialize(rows.filter("key <> hub").select("signature", "key", "component", "outer").join(sized, "key"), "rows")
+    home = F.min(F.when(F.col("key") == F.col("hub"), F.col("component")))
+    ends = named.groupBy("hub").agg(home.alias("home"), F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
+    split = ends.filter("low < high and size > 2").select("hub", "home")
+    rows = named.filter("key <> hub").join(split, "hub").withColumn("outer", F.col("component") != F.col("home")).drop("home")
+    # A pair of several groups is compared in that of the smallest hub.
+    of_key = members.join(rows.select("key").distinct(), "key").groupBy("key").agg(F.sort_array(F.collect_list("hub")).alias("hubs"))
+    rows = rows.join(of_key, "key").withColumn("earlier", F.filter("hubs", lambda h: h < F.col("hub"))).drop("hubs")
+    rows = materialize(rows.join(sized, "key"), "rows")
     discard(named, first)
-    count = rows.groupBy("signature").agg(
+    count = rows.groupBy("hub").agg(
         F.ceil(F.count_if("outer") / BLOCK).cast("int").alias("outer_blocks"), F.ceil(F.count("*") / BLOCK).cast("int").alias("all_blocks")
     )
-    rows_in = rows.join(count, "signature")
+    rows_in = rows.join(count, "hub")
 
     def own(blocks: str):
         return F.pmod(F.xxhash64("key"), F.col(blocks)).cast("int")
@@ -455,11 +466,10 @@ def links(docs: DataFrame, classes: DataFrame, members: DataFrame, width: int =
     def every(blocks: str):
         return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
 
-    columns = ["signature", "i", "j", "role", "key", "n", "counts", "component", "outer"]
+    columns = ["hub", "i", "j", "role", "key", "n", "counts", "component", "outer", "earlier"]
     left = rows_in.filter("outer").withColumns({"i": own("outer_blocks"), "role": F.lit(0)}).withColumn("j", every("all_blocks")).select(columns)
     right = rows_in.withColumns({"j": own("all_blocks"), "role": F.lit(1)}).withColumn("i", every("outer_blocks")).select(columns)
-    across = left.unionByName(right).withColumnRenamed("signature", "group")
-    across = across.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(_across(percent), "a long, b long")
+    across = left.unionByName(right).repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(_across(percent), "a long, b long")
     across = materialize(across.distinct(), "across")
     discard(rows)
     more = _verified(across, docs, classes, width, percent)
