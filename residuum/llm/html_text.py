@@ -8,14 +8,21 @@ them brings equal runs together, and runs of RUN tokens or more that pages of
 different content share are boilerplate. What they cover is cut out of blocks
 that markup leaves open; unique runs stay.
 
-Blocks of an article stay whole. Articles are copied and quoted on the pages of
-a host, so repetition alone would take their text away; how many tokens of a
-page are covered is returned with it. A large host's pages are dealt into chunks of
-CHUNK pages by a hash, each with a suffix array of its own; boilerplate is on
-many pages of every chunk.
+Articles are copied and quoted on the pages of a host, so repetition alone would
+take their text away. Of an article only blocks at its ends go: those that runs
+cover as a whole and that stand there on over half of the host's pages of different
+content (five at least), unless runs cover all the rest too. Its other blocks
+stay whole. How many tokens of a page are covered, and how many are left
+out for that, is returned.
+
+A large host's pages are dealt into chunks of CHUNK pages by a hash; their runs
+and blocks are counted over the whole host. Host suffix arrays serve hosts of one
+chunk, hashes of the same runs the others, with the same result.
 
 A null or empty page has no text. Rows with the same content count as one page
-for the suffix array, so copies don't cancel each other. No rows in, no rows out.
+for runs and blocks, so copies don't cancel each other; each row is returned.
+Very long pages are read whole, in time that grows in proportion to them. Columns
+but page_id, url and html are ignored, whatever their names. No rows in, no rows out.
 """
 
 from __future__ import annotations
@@ -23,10 +30,12 @@ from __future__ import annotations
 import hashlib
 import html as references
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +47,9 @@ from residuum.plans.tables import materialize, ship, table
 RUN = 8
 MIN_PAGES = 3
 CHUNK = 256
+#: Blocks at each end of an article that may belong to the template, and pages that must have them there at least.
+EDGE = 2
+TEMPLATE_PAGES = 5
 #: Tokens of a run's parts, and chunks of a large host for each part that its values go to.
 GRAM = 5
 CHUNKS_A_PART = 16
@@ -48,7 +60,7 @@ CHROME, ARTICLE, OPEN = 0, 1, 2
 _RADIX = np.uint64(0x5851F42D4C957F2D)
 
 #: Elements whose content is no text of the page at all.
-_RAW = frozenset("script style title noscript template iframe object svg canvas math audio video".split())
+_RAW = frozenset("script style title noscript template iframe object svg canvas audio video".split())
 #: Of these, those that swallow the rest of the page if they are never closed.
 _TO_THE_END = frozenset("script style title".split())
 #: Elements that are chrome, wherever they stand.
@@ -68,8 +80,17 @@ _CHROME_WORDS = frozenset(
     "footer foot contentinfo masthead topbar header "
     "cookie cookies consent gdpr notice notices alert notification notifications modal popup overlay disclaimer paywall "
     "newsletter subscribe subscription signup login search form "
-    "comment comments commentlist disqus respond reply replies discussion share sharing social".split()
+    "comment comments commentlist disqus respond reply replies share sharing social".split()
+)
+#: Words that say where something stands or how it is wrapped; beside a chrome word they change nothing,
+#: while any other word makes a name one of its own, such as side-effects.
+_NEUTRAL_WORDS = frozenset(
+    "area bar block body bottom box btn button buttons center column container content count entry group head heading hidden icons image images "
+    "inner item items layout left link links list main mobile outer page panel post article posts primary right row secondary section site slot small "
+    "space static sticky tabs text thread title tool tools top unit wrap wrapper zone".split()
 )
+#: Names of an article's own element.
+_BODY_NAMES = frozenset("article-body articlebody article-content article-text entry-content post-body post-content story-body".split())
 #: Words that make a header one of the article.
 _ARTICLE_WORDS = frozenset("article articlebody story post entry content".split())
 #: Names that say what else is on the page, such as has-sidebar.
@@ -77,7 +98,10 @@ _MODIFIER = re.compile(r"\b(?:has|with|no|without)[-_][\w-]+")
 #: Words that make even an article element chrome.
 _FOREIGN_ARTICLE = frozenset("comment comments reply replies related teaser promo ad advert sponsored".split())
 
-_TAG = re.compile(r"<!--|<!\[CDATA\[|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>")
+#: A tag without odd quotes; never looks beyond the next "<" but in quotes that end before it.
+_PLAIN_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/<>"']*)((?:[^"'<>=]|=(?:"[^"<>]*"|'[^'<>]*')?)*)>""")
+_TAG_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[\"'>]")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 _NOT_WORD = re.compile(r"[^a-z0-9]+")
 
@@ -100,15 +124,74 @@ def _says(tag: str, attributes: str) -> tuple[bool, bool]:
             else:
                 article = article or name == "role" and value in ("main", "article")
                 names += [set(_NOT_WORD.split(n)) for n in _MODIFIER.sub(" ", value).split()]
+                article = article or not _BODY_NAMES.isdisjoint(value.split())
     words = set().union(*names)
     if tag in ("article", "main"):
         foreign = bool(words & _FOREIGN_ARTICLE) and not words & {"post", "entry", "story"}
         return hidden or foreign, not foreign
     if tag in ("html", "body"):
         return False, False
-    # Each name counts by itself; an article's header is part of the article.
-    named = any(n & _CHROME_WORDS - ({"header"} if n & _ARTICLE_WORDS else set()) for n in names)
-    return hidden or tag in _CHROME_TAGS or named and not article, article
+    return hidden or tag in _CHROME_TAGS or any(map(_is_chrome, names)) and not article, article
+
+
+def _is_chrome(name: set[str]) -> bool:
+    """Whether a name's words are chrome words and neutral ones only; an article's header is part of the article."""
+    said = {w for w in name if w and not w.isdigit()}
+    return bool(said & _CHROME_WORDS - ({"header"} if said & _ARTICLE_WORDS else set())) and said <= _CHROME_WORDS | _NEUTRAL_WORDS | _ARTICLE_WORDS
+
+
+class _Tags:
+    """The tags of a page in order, found in time that grows in proportion to the page."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.stops: list[int] | None = None
+        self.dead: set[int] = set()
+        self.last = page.rfind(">")
+        self.unclosed: set[str] = set()
+
+    def _end(self, at: int) -> int:
+        """Where the tag's ">" stands, beyond quoted parts; -1 if it has none. From a quote on, all
+        tags go on alike, so quotes that led to no end once are remembered."""
+        if self.stops is None:
+            self.stops = [m.start() for m in _STOP.finditer(self.page)]
+        seen = []
+        while (k := bisect_left(self.stops, at)) < len(self.stops) and (p := self.stops[k]) not in self.dead:
+            if self.page[p] == ">":
+                return p
+            seen.append(p)
+            close = self.page.find(self.page[p], p + 1)
+            if close < 0:
+                break
+            at = close + 1
+        self.dead.update(seen)
+        return -1
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, "/" or "", name, attributes) of the next tag or, with "!" for "/", of what is left out."""
+        page = self.page
+        while 0 <= (start := page.find("<", at)) < self.last or start >= 0 and page.startswith(("<!--", "<![CDATA["), start):
+            if m := _PLAIN_TAG.match(page, start):
+                return start, m.end(), m[1], m[2], m[3]
+            if page.startswith(("<!--", "<![CDATA["), start):
+                mark = "-->" if page[start + 2] == "-" else "]]>"
+                close = page.find(mark, start + len("<!--" if mark == "-->" else "<![CDATA["))
+                return start, len(page) if close < 0 else close + 3, "!", "", ""
+            if page.startswith(("<!", "<?"), start):
+                return start, page.find(">", start) + 1, "!", "", ""
+            if (m := _TAG_NAME.match(page, start)) and (end := self._end(m.end())) >= 0:
+                return start, end + 1, m[1], m[2], page[m.end() : end]
+            at = start + 1
+        return None
+
+    def after(self, tag: str, at: int) -> int:
+        """Behind the end tag of a raw element, -1 if there is none."""
+        if tag not in self.unclosed:
+            close = re.compile(rf"</{re.escape(tag)}\b[^<>]*>", re.IGNORECASE).search(self.page, at)
+            if close is not None:
+                return close.end()
+            self.unclosed.add(tag)
+        return -1
 
 
 def blocks(page: str) -> list[tuple[str, int]]:
@@ -137,64 +220,70 @@ def blocks(page: str) -> list[tuple[str, int]]:
             if anchors:
                 linked += len(raw.strip())
 
-    at, size = 0, len(page)
+    # Where in the stack the elements of a name, and all block elements, stand.
+    where: dict[str, list[int]] = {}
+    block_at = [0]
+
+    def push(element: tuple[str, bool, bool]) -> None:
+        where.setdefault(element[0], []).append(len(stack))
+        if element[0] in _BLOCK:
+            block_at.append(len(stack))
+        stack.append(element)
+
+    def drop(k: int) -> None:
+        while len(stack) > k:
+            name = stack.pop()[0]
+            where[name].pop()
+            if name in _BLOCK:
+                block_at.pop()
+
+    tags, at, size = _Tags(page), 0, len(page)
     while at < size:
-        m = _TAG.search(page, at)
-        if m is None:
+        found_tag = tags.next(at)
+        if found_tag is None:
             put(page[at:])
             break
-        put(page[at : m.start()])
-        at = m.end()
-        whole = m[0]
-        if m[2] is None:
-            if whole == "<!--":
-                close = page.find("-->", at)
-                at = size if close < 0 else close + 3
-            elif whole == "<![CDATA[":
-                close = page.find("]]>", at)
-                at = size if close < 0 else close + 3
+        start, end, slash, tag, attributes = found_tag
+        put(page[at:start])
+        at = end
+        if slash == "!":
             continue
-        tag = m[2].lower()
-        if not m[1]:
+        tag = tag.lower()
+        empty = page[end - 2] == "/"
+        if not slash:
             if tag in _RAW:
-                if not whole.endswith("/>"):
-                    close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(page, at)
-                    if close is not None:
-                        at = close.end()
-                    elif tag in _TO_THE_END:
-                        at = size
+                if not empty:
+                    close = tags.after(tag, at)
+                    at = close if close >= 0 else size if tag in _TO_THE_END else at
                 continue
             if tag == "a":
                 anchors += 1
             elif tag in _BLOCK:
                 end_block()
                 while stack[-1][0] in _LOOSE and (tag == stack[-1][0] or stack[-1][0] == "p"):
-                    stack.pop()
+                    drop(len(stack) - 1)
             elif tag in ("br", "td", "th"):
                 parts.append(" ")
-            if tag in _VOID or whole.endswith("/>"):
+            if tag in _VOID or empty:
                 continue
-            if tag in _BLOCK or tag in _CHROME_TAGS or m[3].strip() and tag != "a":
-                chrome, article = _says(tag, m[3])
+            if tag in _BLOCK or tag in _CHROME_TAGS or attributes.strip() and tag != "a":
+                chrome, article = _says(tag, attributes)
                 _, above_chrome, above_article = stack[-1]
                 # An article's own header is part of it; a page's isn't.
                 chrome = chrome or tag == "header" and not above_article
                 if chrome and not above_chrome and tag not in _BLOCK:
                     end_block()
-                stack.append((tag, above_chrome or chrome, above_article or article and not chrome))
+                push((tag, above_chrome or chrome, above_article or article and not chrome))
         else:
             if tag == "a":
                 anchors = max(0, anchors - 1)
             elif tag in _BLOCK:
                 end_block()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    if stack[k][1] and not stack[k - 1][1]:
-                        end_block()
-                    del stack[k:]
-                    break
-                if tag not in _BLOCK and stack[k][0] in _BLOCK:
-                    break
+            # An end tag of no block doesn't reach beyond the innermost block.
+            if (k := (where.get(tag) or [0])[-1]) > 0 and (tag in _BLOCK or k > block_at[-1]):
+                if stack[k][1] and not stack[k - 1][1]:
+                    end_block()
+                drop(k)
     end_block()
     out = []
     has_article = any(article and not chrome for _, chrome, article, _ in found)
@@ -208,7 +297,7 @@ def blocks(page: str) -> list[tuple[str, int]]:
             out.append((text, ARTICLE))
         else:
             # A block of links alone is a menu.
-            out.append((text, CHROME if in_links >= 0.8 * len(text) and len(text) < 200 else OPEN))
+            out.append((text, CHROME if in_links >= 0.8 * len(text) else OPEN))
     return out
 
 
@@ -302,21 +391,53 @@ def _few(values: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[kept], who[kept]
 
 
-def _text(texts: list[str], states: list[int], covered: np.ndarray) -> str:
-    """Blocks of the article whole, and of open ones what isn't covered, joined in page order."""
-    out, at = [], 0
-    for text, state in zip(texts, states, strict=True):
-        n = len(text.split(" "))
-        own = covered[at : at + n]
-        at += n
+def _name(text: str) -> int:
+    """A block's, or a page's, 64-bit name, above 0."""
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") >> 1 | 1
+
+
+def _outer(article: list[str]) -> set[str]:
+    """The first and the last EDGE blocks of an article that has others."""
+    return set(article[:EDGE] + article[-EDGE:]) if len(article) > 1 else set()
+
+
+def _template(article: list[tuple[str, bool]], wide: set[int]) -> tuple[int, int]:
+    """The article without blocks at its ends that belong to the host's template, as (first, end).
+
+    Such a block is covered by repeated runs as a whole and stands at the ends of
+    most of the host's articles. If all that would be left is covered too, the
+    article is a copy and stays whole.
+    """
+    first, end = 0, len(article)
+    while first < min(EDGE, end - 1) and article[first][1] and _name(article[first][0]) in wide:
+        first += 1
+    while end > max(len(article) - EDGE, first + 1) and article[end - 1][1] and _name(article[end - 1][0]) in wide:
+        end -= 1
+    return (0, len(article)) if all(whole for _, whole in article[first:end]) else (first, end)
+
+
+def _text(texts: list[str], states: list[int], covered: np.ndarray, wide: set[int]) -> tuple[str, int]:
+    """Blocks of the article but for those of the host's template, and of open ones what isn't covered,
+    joined in page order; and how many tokens were left out for the runs that the host repeats."""
+    ends = np.cumsum([len(text.split(" ")) for text in texts], dtype=np.int64)
+    marks = np.split(covered, ends[:-1]) if len(texts) else []
+    article = [(text, bool(own.all())) for text, state, own in zip(texts, states, marks, strict=True) if state == ARTICLE]
+    first, end = _template(article, wide) if wide else (0, len(article))
+    out, cut, at = [], 0, 0
+    for text, state, own in zip(texts, states, marks, strict=True):
         if state == ARTICLE:
-            out.append(text)
+            at += 1
+            if first < at <= end:
+                out.append(text)
+            else:
+                cut += len(own)
         elif state == OPEN:
+            cut += int(own.sum())
             if not own.any():
                 out.append(text)
             elif left := " ".join(w for w, c in zip(text.split(" "), own, strict=True) if not c):
                 out.append(left)
-    return "\n\n".join(out)
+    return "\n\n".join(out), cut
 
 
 def _tokens(texts: list[str]) -> np.ndarray:
@@ -361,6 +482,7 @@ def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
 
 _SENT = "_host string, _part long, _chunk long, values binary, who binary"
 _BACK = "_host string, _chunk long, values binary"
+_ENDS = "_host string, _chunk long, block long, page long"
 
 
 def _send(packed: pa.Table, values: np.ndarray, who: np.ndarray, part: np.ndarray) -> pa.Table:
@@ -456,23 +578,51 @@ def _covered(streams: list[np.ndarray], shared: np.ndarray) -> list[np.ndarray]:
     return np.split(np.cumsum(change[:-1]) > 0, ends[:-1])
 
 
+def _ends(packed: pa.Table) -> pa.Table:
+    """The blocks at the ends of a chunk's articles, each once for each page of different content; 0 stands for the page itself."""
+    found = set()
+    pages = _unpack(packed)
+    for texts, states in zip(pages.column("texts").to_pylist(), pages.column("states").to_pylist(), strict=True):
+        article = [t for t, s in zip(texts, states, strict=True) if s == ARTICLE]
+        if article:
+            page = _name("\n".join(texts))
+            found |= {(0, page)} | {(_name(t), page) for t in _outer(article)}
+    host, chunk = packed.column("_host")[0].as_py(), packed.column("_chunk")[0].as_py()
+    columns = [[host] * len(found), [chunk] * len(found), [b for b, _ in found], [p for _, p in found]]
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["_host", "_chunk", "block", "page"])
+
+
+def _wide(ends: DataFrame) -> DataFrame:
+    """To each chunk the blocks that stand at the ends of most articles of its host; a host has at most four times EDGE."""
+    counts = ends.select("_host", "block", "page").distinct().groupBy("_host", "block").count()
+    of_host = counts.filter("block = 0").select("_host", F.col("count").alias("all"))
+    wide = counts.filter((F.col("block") != 0) & (F.col("count") >= TEMPLATE_PAGES)).join(of_host, "_host").filter(F.col("count") * 2 > F.col("all"))
+    chunks = ends.select("_host", "_chunk").distinct()
+    return chunks.join(wide.select("_host", "block"), "_host").select("_host", "_chunk", F.lit(None).cast("binary").alias("values"), "block")
+
+
 def _by_host(packed: pa.Table, back: pa.Table) -> pa.Table:
     pages = _unpack(packed)
     texts, states = pages.column("texts").to_pylist(), pages.column("states").to_pylist()
     streams = [_tokens(t) for t in texts]
-    marks = _covered(streams, _joined(back.column("values"), np.uint64)) if _parts_of(packed) else repeated(streams)
-    out = [_text(t, s, m) for t, s, m in zip(texts, states, marks, strict=True)]
+    runs_back = back.filter(pc.is_null(back.column("block")))
+    marks = _covered(streams, _joined(runs_back.column("values"), np.uint64)) if _parts_of(packed) else repeated(streams)
+    wide = set(back.column("block").drop_null().to_pylist())
+    out = [_text(t, s, m, wide) for t, s, m in zip(texts, states, marks, strict=True)]
     return (
         pages.select(["page_id", "url"])
-        .append_column("text", pa.array(out, pa.string()))
-        .append_column("n_chars", pa.array([len(t) for t in out], pa.int64()))
+        .append_column("text", pa.array([t for t, _ in out], pa.string()))
+        .append_column("n_chars", pa.array([len(t) for t, _ in out], pa.int64()))
         .append_column("n_tokens", pa.array([len(s) for s in streams], pa.int64()))
         .append_column("n_repeated", pa.array([int(m.sum()) for m in marks], pa.int64()))
+        .append_column("n_cut", pa.array([n for _, n in out], pa.int64()))
     )
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of each row, with its tokens and how many of them the host repeats."""
+    """page_id, url, text, n_chars of each row, with its tokens, how many of them the host repeats
+    and how many are left out for that (n_cut)."""
     ship(pages.sparkSession)
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
     host = host_of(F.col("url"))
@@ -489,8 +639,10 @@ def extract(pages: DataFrame) -> DataFrame:
     often = of_chunk().applyInArrow(_first, _SENT).groupBy("_host", "_part").applyInArrow(_often, _BACK)
     second = of_chunk().cogroup(often.groupBy("_host", "_chunk")).applyInArrow(_second, _SENT)
     shared = second.groupBy("_host", "_part").applyInArrow(_shared, _BACK)
-    rows = f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long, n_tokens long, n_repeated long"
-    return of_chunk().cogroup(shared.groupBy("_host", "_chunk")).applyInArrow(_by_host, rows)
+    wide = _wide(of_chunk().applyInArrow(_ends, _ENDS))
+    back = shared.withColumn("block", F.lit(None).cast("long")).unionByName(wide)
+    rows = f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long, n_tokens long, n_repeated long, n_cut long"
+    return of_chunk().cogroup(back.groupBy("_host", "_chunk")).applyInArrow(_by_host, rows)
 
 
 def query(spark, sf_dir):

@@ -1,4 +1,5 @@
 import random
+import time
 
 import duckdb
 import numpy as np
@@ -57,6 +58,47 @@ def test_host_boilerplate_is_cut_from_open_blocks(spark):
     assert H.extract(df.limit(0)).count() == 0
 
 
+def test_names_count_as_wholes():
+    inner = '<p>a</p><div class="side-effects"><p>b</p></div><section id="discussion"><p>c</p></section><div class="ad-hoc-networks"><p>d</p></div>'
+    page = f'<article>{inner}<section class="social-policy"><p>e</p></section><p>f <math><mi>x</mi></math> g</p></article><div class="article-body"><p>h</p></div>'
+    assert text(page).split("\n\n") == ["a", "b", "c", "d", "e", "f x g", "h"]
+    link = "a whole sentence that is one long link, " * 9
+    assert text(f"<p><a href=x>{link}</a></p><p>text</p>") == "text"
+
+
+def test_hostile_pages_take_linear_time():
+    start = time.time()
+    for page in ("<a " * 350_000, "<a '" * 250_000, "<div>" * 16_000 + "</section>" * 16_000, "<svg>" * 200_000, "<b x><div>" + "<span x>" * 60_000 + "</b>" * 60_000,
+                 "<!x" * 300_000, "<a " * 200_000 + "'>", '<p class="' * 60_000 + ">", "<a '\"<b \"'" * 100_000):
+        H.blocks(page)
+    assert time.time() - start < 15
+    assert text("<p>a <b title='x>y'>c</b> d < e <i title=\"open>f</p>") == 'a c d < e <i title="open>f'
+
+
+def test_template_blocks_leave_articles(spark, monkeypatch):
+    words = lambda a, k: " ".join(f"{a}{k}x{i}" for i in range(12))
+    line, licence, quote = words("share", 0), words("licence", 0), words("quote", 0)
+    rows = []
+    for k in range(12):
+        body = [words("first", k), words("second", k), words("third", k)]
+        # Two pages of the host are copies of others; a licence ends few articles; a quote stands in the middle of all.
+        body = [words(w, k - 10) for w in ("first", "second", "third")] if k >= 10 else body
+        body.insert(2, quote)
+        body += [licence] * (k < 4) + [line]
+        rows.append((k, f"http://h.com/{k}", "<article>" + "".join(f"<p>{b}</p>" for b in body) + f"</article><footer>{words('foot', k)}</footer>"))
+    # A host of copies: all is repeated, nothing goes.
+    rows += [(100 + k, f"http://copies.com/{k}", f"<article><p>{words('one', 0)}</p><p>{words('two', 0)}</p><p>tail</p></article><p>{words('x', k)}</p>") for k in range(9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = sorted(H.extract(df).collect())
+    monkeypatch.setattr(H, "CHUNK", 5)
+    assert sorted(H.extract(df).collect()) == found
+    by = {r["page_id"]: r for r in found}
+    for k in range(12):
+        assert line not in by[k]["text"] and quote in by[k]["text"] and by[k]["n_cut"] == 12
+        assert (licence in by[k]["text"]) == (k < 4) and words("first", k % 10) in by[k]["text"]
+    assert all(by[100 + k]["n_cut"] == 0 and by[100 + k]["text"].count("\n\n") == 2 for k in range(9))
+
+
 def test_query_matches_sql(spark, data):
     con = duckdb.connect()
     con.sql(f"create view pages as from '{data}/pages.parquet'")
