@@ -482,7 +482,7 @@ def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
 
 _SENT = "_host string, _part long, _chunk long, values binary, who binary"
 _BACK = "_host string, _chunk long, values binary"
-_ENDS = "_host string, _chunk long, block long, page long"
+_ENDS = "_host string, chunks long, block long, page long"
 
 
 def _send(packed: pa.Table, values: np.ndarray, who: np.ndarray, part: np.ndarray) -> pa.Table:
@@ -587,19 +587,20 @@ def _ends(packed: pa.Table) -> pa.Table:
         if article:
             page = _name("\n".join(texts))
             found |= {(0, page)} | {(_name(t), page) for t in _outer(article)}
-    host, chunk = packed.column("_host")[0].as_py(), packed.column("_chunk")[0].as_py()
-    columns = [[host] * len(found), [chunk] * len(found), [b for b, _ in found], [p for _, p in found]]
+    host, chunks = packed.column("_host")[0].as_py(), packed.column("_chunks")[0].as_py()
+    columns = [[host] * len(found), [chunks] * len(found), [b for b, _ in found], [p for _, p in found]]
     kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
-    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["_host", "_chunk", "block", "page"])
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["_host", "chunks", "block", "page"])
 
 
 def _wide(ends: DataFrame) -> DataFrame:
     """To each chunk the blocks that stand at the ends of most articles of its host; a host has at most four times EDGE."""
-    counts = ends.select("_host", "block", "page").distinct().groupBy("_host", "block").count()
-    of_host = counts.filter("block = 0").select("_host", F.col("count").alias("all"))
-    wide = counts.filter((F.col("block") != 0) & (F.col("count") >= TEMPLATE_PAGES)).join(of_host, "_host").filter(F.col("count") * 2 > F.col("all"))
-    chunks = ends.select("_host", "_chunk").distinct()
-    return chunks.join(wide.select("_host", "block"), "_host").select("_host", "_chunk", F.lit(None).cast("binary").alias("values"), "block")
+    # Both sides of the join read one exchange, as neither's condition reaches below the counts.
+    counts = ends.distinct().groupBy("_host", "block").agg(F.count("*").alias("n"), F.max("chunks").alias("chunks"), F.max(F.col("block") == 0).alias("all"))
+    of_host = counts.filter("all").select("_host", F.col("n").alias("pages"))
+    wide = counts.filter(~F.col("all") & (F.col("n") >= TEMPLATE_PAGES)).join(of_host, "_host").filter("n * 2 > pages")
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
+    return wide.select("_host", each.alias("_chunk"), F.lit(None).cast("binary").alias("values"), "block")
 
 
 def _by_host(packed: pa.Table, back: pa.Table) -> pa.Table:
