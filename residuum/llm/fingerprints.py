@@ -9,14 +9,19 @@ once in 2 ** BITS; the likeness of two fingerprints is corrected for that.
 
 Null and empty texts have no shingles and the fingerprint of all zeros; texts
 under five words are one shingle. Equal texts have equal fingerprints; a text
-without words is like another such one only.
+without words is like another such one only. Very long texts are read whole;
+repeated rows are rows of their own; columns of the input may have any names but
+``next``. No rows in, no rows out.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from residuum.llm.words import let, whole, words
 from residuum.plans.tables import table
@@ -26,10 +31,9 @@ BINS = 128
 BITS = 8
 #: Bins that an empty bin tries by hash.
 TRIES = 8
-#: Documents whose neighbours by doc_id are looked up together, about.
+#: Documents whose neighbours by doc_id are looked up together, about, and the most ranges of them: beyond, ranges grow.
 RUN = 512
-#: Up to so many ranges of doc_id their first ids are sent to all tasks; beyond, rows are shuffled for them.
-BROADCAST_RANGES = 200_000
+MOST_RANGES = 20_000
 
 _BIN_BITS = BINS.bit_length() - 1
 _EMPTY = (1 << (64 - _BIN_BITS)) - 1
@@ -64,22 +68,26 @@ def bins(hashes: Column) -> Column:
 
 
 def densify(values: Column) -> Column:
-    """Empty bins filled, each from the first bin with a value among those that hashes of its number name.
+    """Empty bins filled, each from the first bin with a value in an order that hashes of its number give.
 
-    Most need one or two tries. After TRIES the text has few full bins; then
-    the next full one counts, in a ring from where one more hash points.
+    Most need one or two of the TRIES hashes, which may name a bin twice. If
+    all of them name empty bins, hashes order all bins, and the first with a value counts.
     """
 
-    def fill(v: Column) -> Column:
+    def fill(v: Column, full: Column) -> Column:
         def one(x: Column, k: Column) -> Column:
             at = lambda t: F.pmod(F.xxhash64(k, F.lit(t)), F.lit(BINS)).cast("int")
             tries = [F.when(F.get(v, at(t)) >= 0, F.get(v, at(t))) for t in range(TRIES)]
-            ring = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.get(v, (b + at(TRIES)) % BINS))
-            return F.when(x >= 0, x).otherwise(F.coalesce(*tries, F.get(F.filter(ring, lambda y: y >= 0), F.lit(0))))
+            rest = F.array_min(F.transform(full, lambda y: F.struct(F.xxhash64(k, y["bin"], F.lit(TRIES)).alias("order"), y["value"].alias("value"))))
+            return F.when(x >= 0, x).otherwise(F.coalesce(*tries, rest["value"]))
 
         return F.transform(v, one)
 
-    return let(values, fill)
+    def filled(v: Column) -> Column:
+        full = F.filter(F.transform(v, lambda x, k: F.struct(k.alias("bin"), x.alias("value"))), lambda y: y["value"] >= 0)
+        return let(full, lambda f: fill(v, f))
+
+    return let(values, filled)
 
 
 def sketch(text: Column) -> Column:
@@ -104,36 +112,60 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(empty == 2, F.lit(1.0)).when(empty == 1, F.lit(0.0)).otherwise(corrected)
 
 
+def _free(name: str, taken: list[str]) -> str:
+    """A column's name that none of ``taken`` has, cases apart."""
+    used = {t.lower() for t in taken}
+    while name in used:
+        name += "_"
+    return name
+
+
+def _cuts(docs: DataFrame) -> list:
+    """Ids that cut the rows into ranges of RUN, or MOST_RANGES of them, from a sample by a hash of the id."""
+    n = docs.count()
+    ranges = max(1, min(MOST_RANGES, n // RUN))
+    ids = docs.select("doc_id").filter("doc_id is not null")
+    share = 8 * ranges / max(1, n)
+    drawn = ids if share >= 1 else ids.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    found = [r[0] for r in drawn.distinct().orderBy("doc_id").limit(16 * MOST_RANGES).collect()]
+    return found[8::8] if share < 1 else found[RUN::RUN]
+
+
+def _range_of(value: Column, cuts: list, kind: str) -> Column:
+    """How many of the ascending ``cuts`` aren't above the value, by bisection."""
+    if not cuts:
+        return F.lit(0)
+    known = F.from_json(F.lit(json.dumps([c if isinstance(c, (int, float, str)) else str(c) for c in cuts])), f"array<{kind}>")
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(known, at + step - 1) <= value, at + step).otherwise(at))
+
+
 def with_next(docs: DataFrame, **derived: Column) -> DataFrame:
     """Add ``next``, the row that follows by doc_id (after the last comes the first).
 
-    Columns ``derived`` are added first, on the way, once for each row.
+    Columns ``derived`` are added first, on the way, once for each row. Ids may
+    have any type that has an order and a JSON form (numbers, strings, dates).
 
-    Rows are dealt by ranges of doc_id, RUN rows each if ids are spread
-    evenly. The first row of each range goes to the range before as well, so
-    every range knows what follows it and rows move once. Null ids come last.
+    Rows are dealt by ranges of doc_id of about as many rows each. The first row
+    of each range goes to the range before as well, so every range knows what
+    follows it and rows move once. Null ids come last; rows with the same id
+    follow each other by their other columns.
     """
-    names = docs.columns
-    span = docs.agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("doc_id").alias("n")).first()
-    least, most = span["least"] or 0, span["most"] or 0
-    width = max(1, -(-(most - least + 1) * RUN // max(1, span["n"])))
-    last = (most - least) // width + 1
-    part = F.coalesce(F.floor((F.col("doc_id") - least) / width).cast("long"), F.lit(last))
-    dealt = docs.select(part.alias("part"), F.lit(0).alias("guest"), *names)
-    heads = docs.groupBy(part.alias("part")).agg(F.min("doc_id").alias("head"))
-    ring = W.Window.orderBy("part")
-    before = F.coalesce(F.lag("part").over(ring), F.last("part").over(ring.rowsBetween(W.Window.unboundedPreceding, W.Window.unboundedFollowing)))
-    heads = heads.select(before.alias("_to"), F.col("part").alias("_from"), "head")
-    if last <= BROADCAST_RANGES:
-        heads = F.broadcast(heads)
-    guests = dealt.join(heads, (F.col("part") == F.col("_from")) & F.col("doc_id").eqNullSafe(F.col("head"))).select(
-        F.col("_to").alias("part"), F.lit(1).alias("guest"), *names
-    )
+    names, spark = docs.columns, docs.sparkSession
+    field = docs.schema["doc_id"]
+    part, guest, to, at, head = (_free(c, [*names, *derived]) for c in ("part", "guest", "to", "at", "head"))
+    cuts = _cuts(docs)
+    where = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(_range_of(F.col("doc_id"), cuts, field.dataType.simpleString()))
+    dealt = docs.select(where.alias(part), F.lit(0).alias(guest), *names)
+    # At most MOST_RANGES rows and two.
+    firsts = sorted((r[0], r[1]) for r in dealt.groupBy(part).agg(F.min("doc_id")).collect())
+    ring = [(before[0], own[0], own[1]) for before, own in zip([firsts[-1], *firsts[:-1]], firsts, strict=True)] if firsts else []
+    heads = spark.createDataFrame(ring, StructType([StructField(to, IntegerType()), StructField(at, IntegerType()), StructField(head, field.dataType)]))
+    guests = dealt.join(F.broadcast(heads), (F.col(part) == F.col(at)) & F.col("doc_id").eqNullSafe(F.col(head))).select(F.col(to).alias(part), F.lit(1).alias(guest), *names)
     rows = dealt.unionByName(guests).withColumns(derived)
-    row = F.struct(*names, *derived)
     order = [F.col("doc_id").asc_nulls_last(), *(F.col(c).asc_nulls_first() for c in names if c != "doc_id")]
-    in_part = W.Window.partitionBy("part").orderBy("guest", *order)
-    return rows.withColumn("next", F.lead(row).over(in_part)).filter("guest = 0").drop("part", "guest")
+    in_part = W.Window.partitionBy(part).orderBy(guest, *order)
+    return rows.withColumn("next", F.lead(F.struct(*names, *derived)).over(in_part)).filter(F.col(guest) == 0).drop(part, guest)
 
 
 def edited_text(text: Column, following: Column) -> Column:

@@ -1,3 +1,4 @@
+import datetime
 import hashlib
 
 import numpy as np
@@ -45,3 +46,28 @@ def test_odd_rows(odd_docs, no_docs, spark):
     following = {r["doc_id"]: r["next"]["doc_id"] for r in P.with_next(far).collect()}
     ids = sorted(following)
     assert following == dict(zip(ids, ids[1:] + ids[:1], strict=True))
+
+
+def test_next_by_any_ids(spark, monkeypatch):
+    monkeypatch.setattr(P, "RUN", 3)
+    wide = [-(2**63), 2**63 - 1, 0, 5, *range(10, 60), 4 * 10**18]
+    for kind, ids in (("long", wide), ("string", [f"d{k}" for k in range(40)] + ["", "é"]), ("date", [datetime.date(2020, 1, k) for k in range(1, 29)])):
+        df = spark.createDataFrame([(i, "x", 1, 2) for i in ids], f"doc_id {kind}, text string, part int, guest int")
+        out = P.with_next(df, head_=F.upper("text"))
+        assert out.columns == ["doc_id", "text", "part", "guest", "head_", "next"]
+        ordered = sorted(ids, key=lambda i: i.encode() if isinstance(i, str) else i)
+        assert {r["doc_id"]: r["next"]["doc_id"] for r in out.collect()} == dict(zip(ordered, ordered[1:] + ordered[:1], strict=True))
+
+
+def test_one_far_id_doesnt_fill_a_range(spark):
+    df = spark.range(5000).union(spark.createDataFrame([(4 * 10**18,)], "id long")).withColumnRenamed("id", "doc_id")
+    cuts = P._cuts(df)
+    sizes = [r["count"] for r in df.groupBy(P._range_of(F.col("doc_id"), cuts, "bigint").alias("r")).count().collect()]
+    assert len(sizes) >= 5 and max(sizes) < 2000 and sum(sizes) == 5001
+
+
+def test_short_texts_fill_bins_evenly(spark):
+    base = [f"w{k}" for k in range(14)]
+    rows = [(k, " ".join(base + [f"a{k}"]), " ".join(base + [f"b{k}"])) for k in range(300)]
+    near = spark.createDataFrame(rows, "k int, a string, b string").select(P.likeness(P.sketch(F.col("a")), P.sketch(F.col("b")))).collect()
+    assert abs(np.mean([r[0] for r in near]) - 10 / 12) < 0.03
