@@ -67,13 +67,19 @@ class ToxicModel:
 
 
 def segments(scores: np.ndarray, at: np.ndarray, other: float, n: int) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments of ``n`` words as (first, end, score), in one pass.
+    """All maximal scoring segments of ``n`` words as (first, end, score), in one pass and linear time.
 
     ``scores`` are those of the words at the places ``at``; all words between
     score ``other`` < 0. A stack holds candidates with the running total before
-    and after each; a new one swallows those that it improves.
+    and after each; a new one swallows those that it improves. Each knows the
+    nearest one below it that starts lower, so candidates that start higher are
+    passed over once only.
     """
-    stack: list[tuple[float, float, int, int]] = []
+    lefts: list[float] = []
+    rights: list[float] = []
+    firsts: list[int] = []
+    ends: list[int] = []
+    lower: list[int] = []
     total, last = 0.0, -1
     for place, s in zip(at.tolist(), scores.tolist(), strict=True):
         total += other * (place - last - 1)
@@ -83,17 +89,24 @@ def segments(scores: np.ndarray, at: np.ndarray, other: float, n: int) -> list[t
             continue
         left, right, first = total, total + s, place
         total = right
-        while stack:
-            # The nearest earlier candidate that starts below this one.
-            k = len(stack) - 1
-            while k >= 0 and stack[k][0] >= left:
-                k -= 1
-            if k < 0 or stack[k][1] >= right:
+        k = len(lefts) - 1
+        while True:
+            while k >= 0 and lefts[k] >= left:
+                k = lower[k]
+            if k < 0 or rights[k] >= right:
                 break
-            left, first = stack[k][0], stack[k][2]
-            del stack[k:]
-        stack.append((left, right, first, place + 1))
-    return [(a, b, right - left) for left, right, a, b in stack]
+            # Joined with the candidate that starts lower; what lies between goes with it.
+            left, first = lefts[k], firsts[k]
+            below = lower[k]
+            for column in (lefts, rights, firsts, ends, lower):
+                del column[k:]
+            k = below
+        lefts.append(left)
+        rights.append(right)
+        firsts.append(first)
+        ends.append(place + 1)
+        lower.append(k)
+    return [(a, b, r - x) for x, r, a, b in zip(lefts, rights, firsts, ends, strict=True)]
 
 
 def karlin_rate(scores: np.ndarray, shares: np.ndarray) -> float:

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -31,6 +32,15 @@ def test_segments_match_their_definition():
         assert np.allclose([s for *_, s in found], [s for *_, s in expected])
 
 
+def test_segments_take_linear_time():
+    n = 100_000
+    for scores in (3 / np.arange(1, n + 1), 3 * np.ones(n), np.arange(1, n + 1) / n, np.tile([0.1, 0.2, 5.0], n // 3)):
+        start = time.time()
+        T.segments(scores, np.arange(len(scores)) * 10, -0.05, 10 * n)
+        T.segments(scores, np.arange(len(scores)) * 200, -0.05, 200 * n)
+        assert time.time() - start < 2
+
+
 def test_rate_solves_its_equation():
     scores, shares = np.array([-0.05, 6.0]), np.array([0.999, 0.001])
     rate = T.karlin_rate(scores, shares)
