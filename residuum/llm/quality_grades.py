@@ -62,8 +62,9 @@ def _ratio_features(data: np.ndarray) -> list[int]:
         return [zlib.crc32(b"empty") >> (32 - BITS)]
     shape = _SHAPE[data]
     small, signs = float((shape == 65).mean()), float(((shape != 65) & (shape != 97) & (shape != 48) & (shape != 32)).mean())
-    packed = len(zlib.compress(data.tobytes(), 1)) / n if n >= 200 else -1.0
-    bands = (("packed", int(packed * 20)), ("capitals", int(small * 20)), ("signs", int(signs * 40)), ("length", n.bit_length() // 2))
+    # Short texts pack badly whatever they say, so each length has bands of its own.
+    packed = f"{n.bit_length()}:{int(20 * len(zlib.compress(data.tobytes(), 1)) / n)}"
+    bands = (("packed", packed), ("capitals", int(small * 20)), ("signs", int(signs * 40)), ("length", n.bit_length() // 2))
     return [zlib.crc32(f"{name}:{band}".encode()) >> (32 - BITS) for name, band in bands]
 
 
@@ -93,6 +94,28 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def loss(
+    weights: np.ndarray, cuts: np.ndarray, ids: np.ndarray, values: np.ndarray, row: np.ndarray, grades: np.ndarray, share: np.ndarray
+) -> tuple[float, np.ndarray, np.ndarray]:
+    """The ridged negative log-likelihood of the grades, its gradient by the weights and by the thresholds.
+
+    ``ids`` and ``values`` are the features of all rows in a row, ``row`` whose they are, ``share`` the rows' weights.
+    """
+    n = len(grades)
+    score = np.bincount(row, values * weights[ids], minlength=n)
+    above = _sigmoid(score[:, None] - cuts)
+    # Probabilities of the grade: above its lower cut, not above its upper one.
+    p_low = np.concatenate([np.ones((n, 1)), above], 1)[np.arange(n), grades]
+    p_high = np.concatenate([above, np.zeros((n, 1))], 1)[np.arange(n), grades]
+    gap = np.maximum(p_low - p_high, 1e-9)
+    total = -float(share @ np.log(gap)) + RIDGE * float(weights @ weights) / (2 * n)
+    # d log(p_low - p_high) / d score = 1 - p_low - p_high, for logistic links.
+    grad = -np.bincount(ids, (share * (1 - p_low - p_high))[row] * values, minlength=len(weights)) + RIDGE * weights / n
+    own = above * (1 - above) / gap[:, None] * share[:, None]
+    cut_grad = np.array([(own[grades == k + 1, k]).sum() - (own[grades == k, k]).sum() for k in range(len(cuts))])
+    return total, grad, cut_grad
+
+
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray) -> GradeModel:
     """Cumulative-link regression by gradient steps with per-weight scaling.
 
@@ -111,19 +134,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray) -> GradeM
     share = (len(grades) / (np.count_nonzero(count) * np.maximum(count, 1)))[grades] / len(grades)
     spread, cut_spread = np.full(size, 1e-8), np.full(GRADES - 1, 1e-8)
     for _ in range(PASSES):
-        score = np.bincount(row, values * weights[ids], minlength=len(rows))
-        above = _sigmoid(score[:, None] - cuts)
-        # Probabilities of the grade: above its lower cut, not above its upper one.
-        p_low = np.concatenate([np.ones((len(rows), 1)), above], 1)[np.arange(len(rows)), grades]
-        p_high = np.concatenate([above, np.zeros((len(rows), 1))], 1)[np.arange(len(rows)), grades]
-        # d log(p_low - p_high) / d score = 1 - p_low - p_high, for logistic links.
-        slope = 1 - p_low - p_high
-        grad = -np.bincount(ids, (share * slope)[row] * values, minlength=size) + RIDGE * weights / len(rows)
-        cut_grad = np.zeros(GRADES - 1)
-        gap = np.maximum(p_low - p_high, 1e-9)
-        for k in range(GRADES - 1):
-            own = above[:, k] * (1 - above[:, k]) / gap * share
-            cut_grad[k] = (own * (grades == k + 1)).sum() - (own * (grades == k)).sum()
+        _, grad, cut_grad = loss(weights, cuts, ids, values, row, grades, share)
         spread += grad**2
         cut_spread += cut_grad**2
         weights -= STEP * grad / np.sqrt(spread)
@@ -144,7 +155,7 @@ def learn(docs: DataFrame, ratings: DataFrame) -> GradeModel:
     for grade in range(GRADES):
         own = ratings.filter(F.col("grade") == grade).orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(SAMPLE)
         drawn = own if drawn is None else drawn.unionByName(own)
-    picked = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "grade")
+    picked = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "grade")
 
     def run(batches):
         for batch in batches:
@@ -155,11 +166,11 @@ def learn(docs: DataFrame, ratings: DataFrame) -> GradeModel:
                     ids.append(i)
                     values.append(v)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), batch.column(2).cast(pa.int32()), pa.array(ids, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))],
+                [batch.column(0), batch.column(2).cast(pa.int32()), pa.array(ids, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))],
                 names=["doc_id", "grade", "ids", "values"],
             )
 
-    found = materialize(picked.mapInArrow(run, "doc_id long, grade int, ids array<int>, values array<float>"), "grade-sample")
+    found = materialize(picked.mapInArrow(run, "doc_id string, grade int, ids array<int>, values array<float>"), "grade-sample")
     rows = found.orderBy("doc_id", "grade", F.xxhash64("ids")).toArrow()
     features = [(np.array(i.values.to_numpy(), dtype=np.int64), np.array(v.values.to_numpy(), dtype=float)) for i, v in zip(rows.column("ids"), rows.column("values"), strict=True)]
     return fit(features, rows.column("grade").to_numpy().astype(np.int64))
