@@ -46,7 +46,7 @@ def site_rule(verdict: str, text: str) -> UrlRule:
 
 
 def word_rule(verdict: str, token: str) -> UrlRule:
-    """Rule for hosts that have ``token`` as a label or a hyphenated part of one."""
+    """Rule for hosts that have ``token`` between dots, hyphens and their ends; it may have hyphens itself."""
     return UrlRule(f"~{token}", rf"^(?:[^/]*[.-])?{re.escape(token)}(?=[./-]|$)", verdict, len(token))
 
 
@@ -58,7 +58,18 @@ SITE_RULES = (
     site_rule("block", "example.net/de/8"),
     site_rule("block", "org/es/"),
 )
-WORD_RULES = tuple(word_rule("block", t) for t in ("spam", "casino", "adult", "pills", "porn", "xxx", "viagra", "phishing", "malware"))
+#: Words of hosts that no corpus wants, and words that such hosts put before or after them.
+UNWANTED = (
+    "spam casino adult pills porn xxx viagra phishing malware poker slots roulette betting jackpot lottery escort hentai "
+    "cialis steroids warez keygen cracked torrents serials payday replica clickbait adserver doubleclick popunder"
+).split()
+BEFORE = "free best online live top my the real cheap hot mega super play win buy get new royal lucky vip big fast easy pro".split()
+AFTER = "online club world zone land city shop store hub now live club24 games game bonus deals site web net vip pro king express center".split()
+WORD_RULES = tuple(
+    word_rule("block", token)
+    for word in UNWANTED
+    for token in (word, *(f"{a}-{word}" for a in BEFORE), *(f"{word}-{b}" for b in AFTER))
+)
 
 
 def _edge(items) -> bool:
@@ -171,15 +182,17 @@ def match_urls(df: DataFrame, rules: tuple[UrlRule, ...], url: str = "url", inli
         keys = F.from_json(F.lit(json.dumps(sorted(index))), "array<string>")
         candidates = F.flatten(F.transform(F.array_intersect(_tokens(subject), keys), lambda t: table[t]))
         return df.withColumn("rule_hit", _best(F.filter(candidates, lambda r: F.rlike(subject, r["regex"]))))
+    taken = {c.lower() for c in df.columns}
+    key = next(f"_subject{k}" for k in range(len(taken) + 1) if f"_subject{k}" not in taken)
     listed = df.sparkSession.createDataFrame([(t, _struct(r)) for t, rs in index.items() for r in rs], f"token string, rule {RULE}")
     hits = (
         df.select(subject.alias("subject")).distinct()
         .select("subject", F.explode(_tokens(F.col("subject"))).alias("token"))
         .join(listed, "token")
         .filter(F.rlike("subject", F.col("rule.regex")))
-        .groupBy("subject").agg(F.max(F.struct("rule.rank", "rule.text", "rule.verdict")).alias("rule_hit"))
+        .groupBy(F.col("subject").alias(key)).agg(F.max(F.struct("rule.rank", "rule.text", "rule.verdict")).alias("rule_hit"))
     )
-    return df.drop("rule_hit").withColumn("subject", subject).join(hits, "subject", "left").drop("subject")
+    return df.drop("rule_hit").join(hits, F.concat("host", "path") == F.col(key), "left").drop(key)
 
 
 def judge_urls(df: DataFrame, url: str = "url", rules: tuple[UrlRule, ...] = SITE_RULES + WORD_RULES, default: str = "allow") -> DataFrame:
@@ -207,7 +220,7 @@ def query(spark, sf_dir):
 
 
 def _oracle() -> str:
-    words = "|".join(r.text[1:] for r in WORD_RULES)
+    listed = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
     return rf"""
 WITH u AS (
   SELECT page_id,
@@ -222,14 +235,17 @@ j AS (
   SELECT u.*, arg_max(r.rule, length(r.rule)) AS rule, arg_max(r.v, length(r.rule)) AS v
   FROM u LEFT JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
   GROUP BY u.page_id, u.host, u.path),
-p AS (
-  SELECT *, CASE WHEN rule IS NULL THEN list_max([x for x in string_split_regex(host, '[.-]') if regexp_full_match(x, '{words}')]) END AS w,
-    CASE WHEN rule IS NULL THEN list_max([length(x) for x in string_split_regex(host, '[.-]') if regexp_full_match(x, '{words}')]) END AS n
-  FROM j)
-SELECT page_id, host, path, rule,
-  '~' || list_max([x for x in string_split_regex(host, '[.-]') if w IS NOT NULL AND length(x) = n AND regexp_full_match(x, '{words}')]) AS pattern,
-  coalesce(v, CASE WHEN w IS NULL THEN 'allow' ELSE 'block' END) AS verdict
-FROM p"""
+w AS (SELECT unnest({listed(UNWANTED)}) AS w),
+t AS (
+  SELECT w AS token FROM w
+  UNION ALL SELECT a || '-' || w FROM w, (SELECT unnest({listed(BEFORE)}) AS a)
+  UNION ALL SELECT w || '-' || b FROM w, (SELECT unnest({listed(AFTER)}) AS b)),
+h AS (
+  SELECT host, max(struct_pack(n := length(token), token := '~' || token)) AS best
+  FROM (SELECT DISTINCT host FROM u) JOIN t ON regexp_matches(host, '(?s)^(.*[.-])?' || token || '([.-]|$)') GROUP BY host)
+SELECT page_id, j.host, path, rule, CASE WHEN rule IS NULL THEN best.token END AS pattern,
+  coalesce(v, CASE WHEN best IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+FROM j LEFT JOIN h ON j.host = h.host"""
 
 
 ORACLE = _oracle()

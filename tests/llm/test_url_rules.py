@@ -41,6 +41,22 @@ def test_verdicts_match_brute_force(spark, inline):
         assert (found["verdict"] if found else "allow") == verdict
 
 
+def test_both_paths_keep_all_columns_and_agree(spark):
+    hosts = ["free-casino.com", "x.casino-club.org", "poker.net", "my-best-slots-online.com", "slotsonline.com", "casino", "a-b.free.com", "real-poker-now.de"]
+    rows = [(k, f"http://{h}/p{k}", "s", "t") for k, h in enumerate(hosts * 2)]
+    df = spark.createDataFrame(rows, "page_id long, url string, subject string, _subject0 string")
+    rules = U.SITE_RULES + U.WORD_RULES
+    assert len(U.WORD_RULES) > 1000
+    near, far = (U.match_urls(df, rules, inline_rules=n).collect() for n in (len(rules), 0))
+    names = ["page_id", "url", "subject", "_subject0", "host", "path", "rule_hit"]
+    assert near[0].asDict().keys() == set(names) and [near[0].__fields__, far[0].__fields__] == [names, names]
+    key = lambda r: (r["page_id"], r["subject"], r["host"], r["path"], r["rule_hit"])
+    assert sorted(map(key, near), key=str) == sorted(map(key, far), key=str)
+    text = {r["host"]: r["rule_hit"] and r["rule_hit"]["text"] for r in near}
+    assert text == {"free-casino.com": "~free-casino", "x.casino-club.org": "~casino-club", "poker.net": "~poker", "my-best-slots-online.com": "~slots-online",
+                    "slotsonline.com": None, "casino": "~casino", "a-b.free.com": None, "real-poker-now.de": "~real-poker"}
+
+
 def test_tokens_are_those_that_every_match_has():
     assert U.literal_tokens(r"^(?:[^/]*\.)?example\.com/en/7") == {"example", "com", "en"}
     assert U.literal_tokens(r"foo.*bar/baz/") == {"baz"}
