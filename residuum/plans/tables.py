@@ -75,12 +75,21 @@ def forget(spark: SparkSession) -> None:
     _delete(spark, f"{shared_dir(spark)}/residuum")
 
 
+#: Bytes of rows that go to a Python worker at once. Rows of whole texts or pages fill the default of
+#: 64 MB, which is held twice over on either side of every task.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Give this package to the session's Python workers, once per context.
+    """Give this package to the session's Python workers, once per context, and keep their batches small.
 
-    Python stages refer to its functions by name, wherever the workers run.
+    Python stages refer to its functions by name, wherever the workers run. A
+    batch size that is smaller already stays.
     """
     context = spark.sparkContext
+    key, most = BATCH
+    if int(spark.conf.get(key, str(most + 1)).rstrip("b")) > most:
+        spark.conf.set(key, str(most))
     if getattr(context, "_residuum_shipped", False):
         return
     package = Path(__file__).resolve().parent.parent
