@@ -228,7 +228,7 @@ SELECT category, count(*) AS n FROM (
   UNION ALL SELECT 'zero_files' FROM slugs WHERE CAST(substr(slug, 2) AS INT) % 13 > 0 AND CAST(substr(slug, 2) AS INT) % 19 = 0
   UNION ALL SELECT 'core_artifacts' FROM (SELECT DISTINCT slug, type, key FROM flagged WHERE core AND CAST(substr(slug, 2) AS INT) % 13 > 0 AND CAST(substr(slug, 2) AS INT) % 5 = 0)) GROUP BY category"""),
     "pinned_missing": "SELECT 's' || c_custkey AS slug FROM customer WHERE c_custkey % 40 <> 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders)",
-    "pinned_extra": "SELECT DISTINCT 's' || o_custkey AS slug FROM orders WHERE o_custkey % 40 = 0",
+    "pinned_extra": "SELECT DISTINCT 's' || k AS slug FROM (SELECT CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey ELSE o_custkey END AS k FROM orders) WHERE k NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 40 <> 0)",
     "resume_pending": "SELECT 's' || c_custkey AS slug FROM customer WHERE c_custkey % 40 <> 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')",
     "coverage_floor": """
 WITH p AS (SELECT c_custkey FROM customer WHERE c_custkey % 40 <> 0)
@@ -237,7 +237,7 @@ SELECT count(*) AS n_pinned, count(*) FILTER (c_custkey NOT IN (SELECT o_custkey
     "missing_shown": "WITH m AS (SELECT 's' || c_custkey AS slug FROM customer WHERE c_custkey % 40 <> 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders)), t AS (SELECT slug FROM m ORDER BY slug LIMIT 20) SELECT coalesce((SELECT string_agg(slug, ', ' ORDER BY slug) FROM t), '') || CASE WHEN (SELECT count(*) FROM m) > 20 THEN ', ...' ELSE '' END AS listed",
     "provenance_merge": "SELECT source || '-' || (doc_id % 7) AS slug, arg_min('v' || lang, doc_id) AS version, arg_min(sha256(text), doc_id) AS sha256 FROM documents GROUP BY 1",
     "shard_assignment": "SELECT slug, (pos % 10) AS shard, (pos // 10) // 100 AS wave FROM (SELECT 's' || c_custkey AS slug, row_number() OVER (ORDER BY c_custkey) - 1 AS pos FROM customer)",
-    "header_extract": "SELECT page_id, nullif(regexp_extract(substr(html, 1, 8192), '(?i)<title>([^<]*)', 1), '') AS title, nullif(regexp_extract(substr(html, 1, 8192), '(?i)<html lang=\"([a-z]+)', 1), '') AS lang FROM pages",
+    "header_extract": "SELECT page_id, nullif(regexp_extract(html, '(?i)<title>([^<]*)', 1), '') AS title, nullif(regexp_extract(html, '(?i)<html lang=\"([a-z]+)', 1), '') AS lang FROM pages",
     "plugin_header": "SELECT p_partkey, p_name AS name, CASE WHEN p_size % 3 > 0 THEN '1.' || p_size END AS version FROM part",
     "sql_created": "SELECT p_partkey, CASE WHEN p_size % 4 = 3 THEN '' ELSE '{prefix}t' || p_size || CASE WHEN p_size % 2 = 0 THEN ',' || p_brand ELSE '' END END AS names FROM part",
     "sql_dropped": "SELECT p_partkey, 'a' || p_size || CASE WHEN p_size % 3 = 0 THEN '' ELSE ',b' || p_size END AS names FROM part",

@@ -263,7 +263,9 @@ def _done(spark, d):
 
 
 def _extra(spark, d):
-    return corpus.extra(_pinned(spark, d), _done(spark, d).filter(F.substring("slug", 2, 12).cast("long") % 40 == 0))
+    # Of orders, those under numbers that no pinned customer has.
+    orders = table(spark, d, "orders").select(_cat("s", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey")).otherwise(F.col("o_custkey"))).alias("slug"))
+    return corpus.extra(_pinned(spark, d), orders)
 
 
 def _provenance(spark, d):
@@ -278,8 +280,7 @@ def _shards(spark, d):
 
 
 def _headers(spark, d):
-    head = F.substring("html", 1, text.HEADER_SIZE)
-    found = lambda p: F.nullif(F.regexp_extract(head, p, 1), F.lit(""))
+    found = lambda p: F.nullif(F.regexp_extract("html", p, 1), F.lit(""))
     return table(spark, d, "pages").select("page_id", found("(?i)<title>([^<]*)").alias("title"), found('(?i)<html lang="([a-z]+)').alias("lang"))
 
 

@@ -56,6 +56,10 @@ def test_sql_texts(spark):
     assert made("INSERT 'CREATE TABLE a'") == [] == made("CREATE TABLE {prefix}cut", True)
     assert made("CREATE TABLE {prefix}cut") == ["{prefix}cut"] and made("CREATE TABLE a (", True) == ["a"]
     assert gone("DROP TABLE IF EXISTS a, `b`,c") == ["a", "b", "c"] and gone("DROP TABLE a, b", True) == ["a"]
+    assert gone("DROP TABLE a; DROP TABLE b", True) == ["a"] and gone("DROP TABLE `a`, `b`", True) == ["a", "b"] and gone("DROP TABLE a b, c; drop table d,,e") == ["a", "d"]
+    assert made("INSERT INTO x VALUES ('a;b'); CREATE TABLE c (d)") == ["c"] and made("CREATE TABLE a'b") == [] == made("CREATE TABLE") == made("")
+    assert rows("delete from `{prefix}options` where (`option_name` like 'it\\'s;%')") == [("option", "it\\'s;%", False)]
+    assert rows("DELETE FROM {prefix}options WHERE option_name = 'a' OR") == [] == rows("DELETE FROM {prefix}options WHERE option_name LIKE 'a%' OR x LIKE 'b'")
     assert rows("DELETE FROM {prefix}postmeta WHERE meta_key = 'a_b'") == [("post_meta", "a\\_b", False)]
     assert rows("DELETE FROM {prefix}options WHERE option_name LIKE 'a%' OR option_name = 'b'") == [("option", "a%", False), ("option", "b", False)]
     assert rows("DELETE FROM {prefix}options WHERE option_name LIKE 'a%' AND x = 1") == [] == rows("DELETE FROM {prefix}posts WHERE meta_key = 'a'")
