@@ -35,19 +35,40 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+#: Bytes of a row group of intermediates; a task holds one while it writes.
+ROW_GROUP = 32 << 20
+
+
+def materialize(df: DataFrame, tag: str, lent: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Later plans start from the files, so a lost executor costs one task and
-    not the stages before it, and a frame used twice is computed once.
+    not the stages before it, and a frame used twice is computed once. ``lent``
+    files serve a frame that is handed out; ``reclaim`` deletes them.
     """
-    path = f"{shared_dir(df.sparkSession)}/residuum/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/residuum/{tag}-{uuid.uuid4().hex}"
+    df.write.option("parquet.block.size", str(ROW_GROUP)).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
     found._residuum_path = path
+    if lent:
+        spark.sparkContext.__dict__.setdefault("_residuum_lent", []).append(path)
     return found
 
 
+def reclaim(spark: SparkSession, *used: DataFrame) -> None:
+    """Delete lent files that none of the frames still in use reads."""
+    lent = spark.sparkContext.__dict__.get("_residuum_lent", [])
+    if not lent:
+        return
+    read = [f for df in used for f in df.inputFiles()]
+    for path in list(lent):
+        if not any(path.rpartition("/")[2] in f for f in read):
+            _delete(spark, path)
+            lent.remove(path)
+    release(spark)
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete the files of frames that ``materialize`` made and no later plan reads."""
     for df in frames:
