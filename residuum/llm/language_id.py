@@ -254,13 +254,13 @@ def _evidence_of(docs: DataFrame) -> list[Column]:
 def filter_language(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text has a language, with their columns.
 
-    Texts are read twice and scored twice, and never shuffled.
+    Texts are scored once and written beside their rows; evidence is counted
+    and rows are judged from there. Texts are never shuffled.
     """
     model = learn_text(docs)
-    scored = docs.select(text_scores(docs["text"], model).alias("text_says"), *_evidence_of(docs))
-    evidence = learn_evidence(scored, model)
     held = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), text_scores(docs["text"], model).alias("text_says"), *_evidence_of(docs))
-    return fuse(held, model, evidence).filter("kept").select("row.*")
+    scored = materialize(held, "language-scored", lent=True)
+    return fuse(scored, model, learn_evidence(scored, model)).filter("kept").select("row.*")
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:

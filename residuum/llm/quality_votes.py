@@ -211,7 +211,7 @@ def filter_quality(docs: DataFrame) -> DataFrame:
     counted and the rows judged from there. Texts are never shuffled.
     """
     held = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["text"].alias("text"))
-    found = materialize(with_features(held).select("row", "quality"), "features")
+    found = materialize(with_features(held).select("row", "quality"), "features", lent=True)
     return judge(found, fit_votes(found)).filter("kept").select("row.*")
 
 
