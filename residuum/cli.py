@@ -6,11 +6,15 @@ A command line that makes no sense exits with 2.
 from __future__ import annotations
 
 import argparse
+import glob
 import json
 import os
+import re
+import shutil
 import sys
 from collections import Counter
 from datetime import UTC, datetime
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,8 +25,13 @@ from residuum.plans.tables import materialize
 from residuum.sources import archives, manifests, trees
 
 
-def _session() -> SparkSession:
-    return SparkSession.builder.config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").appName("residuum").getOrCreate()
+def _session(args) -> SparkSession:
+    builder = SparkSession.builder
+    if getattr(args, "jobs", None):
+        builder = builder.master(f"local[{args.jobs}]")
+    if getattr(args, "memory_limit", None):
+        builder = builder.config("spark.executor.pyspark.memory", args.memory_limit)
+    return builder.config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").appName("residuum").getOrCreate()
 
 
 def _now() -> str:
@@ -33,13 +42,15 @@ def _slug(path: str) -> str:
     return os.path.basename(os.path.abspath(path))
 
 
-def analyse(spark: SparkSession, roots: dict[str, str]) -> dict[str, DataFrame]:
-    """``scan.analyse`` of local trees by slug; a tree without sources is a plugin too."""
+def analyse(spark: SparkSession, roots: dict[str, str], seconds: float | None = None) -> dict[str, DataFrame]:
+    """``scan.analyse`` of local trees by slug, and as ``failed`` (slug, reason) those that weren't scanned as a whole."""
     files = materialize(trees.local_files(spark, roots), "files")
     headers = trees.headers(files)
-    found = scan.analyse(files, headers, _now())
-    empty = sorted(set(roots) - {r[0] for r in files.select("slug").distinct().collect()}) if len(roots) <= 10_000 else []
-    return found | {"files": files, "headers": headers, "empty": empty}
+    found = scan.analyse(files, headers, _now(), seconds)
+    asked = spark.createDataFrame([(slug,) for slug in sorted(roots)], "slug string")
+    empty = asked.join(files.select("slug").distinct(), "slug", "left_anti").withColumn("reason", F.lit("no source files"))
+    broken = found["errors"].filter("file = '' or code = 'E_TIMEOUT'").groupBy("slug").agg(F.min("message").alias("reason"))
+    return found | {"files": files, "headers": headers, "failed": empty.unionByName(broken)}
 
 
 def _one(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], dict]:
@@ -56,25 +67,41 @@ def _one(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], dict]:
     return found, json.loads(row["j"])
 
 
-def _report(doc: dict) -> str:
-    """A terminal report: every group that isn't empty, coverage and the cleanup path."""
-    c = doc["coverage"]
-    lines = [f"{doc['plugin']['name'] or doc['plugin']['slug']}: grade {doc['grade']} ({doc['score']}) - {doc['summary']}"]
-    for group, items in doc["creates"].items():
-        if items:
-            lines.append(f"  {group}: " + ", ".join(f"{i['key']}{'' if i['cleaned'] else ' (left)'}" for i in items))
-    lines.append(f"  {c['write_calls_found']} writes, {100 * c['resolution_rate']:.1f}% resolved; {c['files_scanned']} files, {c['files_skipped']} errors")
-    k = doc["cleanup"]
-    lines.append("  cleanup: " + (", ".join(n for n, on in (("uninstall.php", k["has_uninstall_php"]), ("uninstall hook", k["has_uninstall_hook"])) if on) or "none"))
-    return "\n".join(lines)
+def _cell(text) -> str:
+    """Text that stays in its cell of a terminal table: no control characters."""
+    return "".join(c if c.isprintable() else "?" for c in str(text))
+
+
+def _report(doc: dict, findings: DataFrame):
+    """Lines of a terminal report: a table for each type, coverage, cleaned share and the cleanup path."""
+    yield f"{_cell(doc['plugin']['name'] or doc['plugin']['slug'])}: grade {doc['grade']} ({doc['score']}) - {doc['summary']}"
+    counts = {r["type"]: r["count"] for r in findings.groupBy("type").count().collect()}
+    rank = F.create_map(*(F.lit(x) for k, t in enumerate(dims.GROUPS) for x in (t, k)))
+    kind, left, total = None, 0, 0
+    for r in findings.orderBy(rank[F.col("type")].asc_nulls_last(), "type", "ord").toLocalIterator():
+        if r["type"] != kind:
+            kind = r["type"]
+            yield f"\n{dims.GROUPS.get(kind, kind)} ({counts[kind]})"
+        key = r["key"] if r["key"] is not None else f"- ({r['expression'] or 'unresolved'})"
+        load = [r["autoload"] or "-"] if kind == "option" else []
+        cleaned = "cleaned" if r["cleaned"] else "left"
+        total, left = total + 1, left + (not r["cleaned"])
+        yield "  " + "  ".join(map(_cell, [r["function"], key, r["confidence"], *load, cleaned, f"{r['file']}:{r['line']}"]))
+    c, k = doc["coverage"], doc["cleanup"]
+    yield f"\n{c['write_calls_found']} writes, {100 * c['resolution_rate']:.1f}% resolved; {c['files_scanned']} files, {c['files_skipped']} errors"
+    path = " + ".join(n for n, on in (("uninstall.php", k["has_uninstall_php"]), ("uninstall hook", k["has_uninstall_hook"])) if on) or "none"
+    yield f"cleanup: {path}; {total - left} of {total} removed on uninstall"
+    if k.get("conditional"):
+        yield f"conditional: only if the setting {_cell(k.get('condition_option') or 'that is stored')} allows it"
 
 
 def cmd_scan(spark, args) -> int:
     if not os.path.exists(args.path):
         print(f"no such path: {args.path}", file=sys.stderr)
         return 1
-    doc = _one(spark, args.path)[1]
-    print(json.dumps(doc, indent=4, ensure_ascii=False) if args.json else _report(doc))
+    found, doc = _one(spark, args.path)
+    for line in [json.dumps(doc, indent=4, ensure_ascii=False)] if args.json else _report(doc, found["findings"]):
+        print(line)
     return 0
 
 
@@ -140,11 +167,12 @@ def cmd_batch(spark, args) -> int:
         grades: Counter = Counter()
         failed: dict[str, str] = {}
         if todo:
-            found = analyse(spark, todo)
-            docs = materialize(found["docs"], "docs")
+            found = analyse(spark, todo, args.timeout)
+            fails = materialize(found["failed"], "failed")
+            docs = materialize(found["docs"].join(fails.select("slug"), "slug", "left_anti"), "docs")
             manifests.write_manifests(docs, out)
             grades.update({r["grade"]: r["count"] for r in docs.groupBy(F.col("doc.grade").alias("grade")).count().collect()})
-            failed = {slug: "no source files" for slug in found["empty"]}
+            failed = {r["slug"]: r["reason"] for r in fails.toLocalIterator()}
         rows = [(s, "skipped", None) for s in done & set(roots)] + [(s, "failed" if s in failed else "scanned", failed.get(s)) for s in todo]
         tally = corpus.report(spark.createDataFrame(rows, "slug string, status string, reason string"))
         if args.report:
@@ -168,9 +196,9 @@ def cmd_index(spark, args) -> int:
     zero = lambda x: F.coalesce(x, F.lit(0))
     coverage = good.select("slug", zero(c["write_calls_found"]).alias("write_calls"), zero(c["verified"]).alias("n_verified"), zero(c["resolved"]).alias("n_resolved"))
     breaches = materialize(index.violations(docs), "violations")
-    manifests.write_lookup(index.reverse_lookup(creates), os.path.join(out, "reverse-lookup"))
+    manifests.write_lookup(index.reverse_lookup(creates), os.path.join(out, "reverse-lookup.json"))
     manifests.write_record(index.stats(docs, coverage, _now()).select("doc.*"), os.path.join(out, "stats.json"))
-    manifests.write_record(breaches.agg(F.array_sort(F.collect_list(F.struct("category", "item"))).alias("violations")), os.path.join(out, "qa.json"))
+    manifests.write_violations(breaches, os.path.join(out, "qa.json"))
     # Files are written before the verdict, so a failed gate can be looked into.
     counts = {r["category"]: r["n"] for r in index.violation_counts(breaches).collect()}
     print(f"{docs.count()} manifests; " + (", ".join(f"{k}: {n}" for k, n in sorted(counts.items())) or "no violations"))
@@ -188,12 +216,21 @@ def cmd_uninstall(spark, args) -> int:
     return 0
 
 
+# The addresses of the public catalogue. Environment variables may name another one.
+CATALOGUE = {
+    "info": "https://api.wordpress.org/plugins/info/1.0/{slug}.json",
+    "versioned": "https://downloads.wordpress.org/plugin/{slug}.{version}.zip",
+    "unversioned": "https://downloads.wordpress.org/plugin/{slug}.zip",
+}
+
+
+def _catalogue() -> dict[str, str]:
+    return {k: os.environ.get(f"RESIDUUM_{k.upper()}_URL", url) for k, url in CATALOGUE.items()}
+
+
 def cmd_fetch(_, args) -> int:
-    urls = {k: os.environ.get(f"RESIDUUM_{k.upper()}_URL", "") for k in ("info", "versioned", "unversioned")}
     try:
-        from pathlib import Path
-
-        place = archives.fetch(urls, args.slug, args.version, Path(args.cache))
+        place = archives.fetch(_catalogue(), args.slug, args.version, Path(args.cache))
     except archives.FetchError as e:
         print(e, file=sys.stderr)
         return 1
@@ -201,6 +238,82 @@ def cmd_fetch(_, args) -> int:
     return 0
 
 
+def _pinned(path: str) -> dict[str, str] | None:
+    """The pinned list, a JSON map from slug to version, in its order; None if there is none."""
+    try:
+        with open(path, encoding="utf-8") as f:
+            found = json.load(f)
+    except (OSError, ValueError):
+        return None
+    return {str(k): str(v) for k, v in found.items()} if isinstance(found, dict) and found else None
+
+
+def cmd_shard(spark, args) -> int:
+    """One shard of the pinned list: fetch what has no manifest yet, wave by wave, and scan each wave.
+
+    What was fetched and what failed is recorded beside the manifests; a resumed
+    run goes on with the records of the one before.
+    """
+    pinned = _pinned(args.pinned)
+    if pinned is None or not 0 <= args.shard < args.shards:
+        print("usage: shard PINNED RUN --shard K --shards N", file=sys.stderr)
+        return 2
+    out, stage = os.path.join(args.run_dir, "manifests"), os.path.join(args.run_dir, f"stage-{args.shard}")
+    record = lambda kind: os.path.join(args.run_dir, f"{kind}-shard-{args.shard}.json")
+    sources, failures = manifests.merge_records([record("provenance")]), manifests.merge_records([record("fetch-failures")])
+    mine = [s for k, s in enumerate(pinned) if k % args.shards == args.shard]
+    pending = [s for s in mine if manifests.read_baseline(os.path.join(out, f"{s}.json")) is None]
+    print(f"shard {args.shard}/{args.shards}: {len(mine)} plugins, {len(pending)} pending")
+    bad = False
+    for at in range(0, len(pending), corpus.WAVE):
+        shutil.rmtree(stage, ignore_errors=True)
+        os.makedirs(stage)
+        for slug in pending[at : at + corpus.WAVE]:
+            version = pinned[slug]
+            try:
+                place = archives.fetch(_catalogue(), slug, version, Path(args.cache))
+                shutil.copytree(place, os.path.join(stage, slug), symlinks=True)
+                sources[slug] = {"version": version, "sha256": (Path(args.cache) / f"{slug}-{version}.sha256").read_text().strip()}
+                failures.pop(slug, None)
+            except (archives.FetchError, OSError) as e:
+                failures[slug] = {"version": version, "error": str(e)}
+        for kind, rows in (("provenance", sources), ("fetch-failures", failures)):
+            manifests.write_text(record(kind), json.dumps(rows, indent=4) + "\n")
+        if os.listdir(stage):
+            report = os.path.join(args.run_dir, f"report-shard-{args.shard}-wave-{at // corpus.WAVE + 1}.json")
+            wave = argparse.Namespace(directory=stage, out=out, resume=True, report=report, timeout=args.timeout)
+            bad = bool(cmd_batch(spark, wave)) or bad
+    shutil.rmtree(stage, ignore_errors=True)
+    return int(bad)
+
+
+def cmd_assemble(spark, args) -> int:
+    """Merge the shards' records and hold the manifests against the pinned list; too many missing ones fail."""
+    pinned = _pinned(args.pinned)
+    if pinned is None:
+        print(f"the pinned list {args.pinned} is missing or empty", file=sys.stderr)
+        return 1
+    counts = {}
+    for kind in ("provenance", "fetch-failures"):
+        shards = glob.glob(os.path.join(glob.escape(args.run_dir), "**", f"{kind}-shard-*.json"), recursive=True)
+        merged = manifests.merge_records(sorted(shards, key=lambda p: int(re.search(r"-shard-(\d+)\.json$", p)[1]) if re.search(r"-shard-(\d+)\.json$", p) else -1))
+        counts[kind] = len(merged)
+        manifests.write_text(os.path.join(args.run_dir, f"{kind}.json"), json.dumps(merged, indent=4) + "\n")
+    folder = os.path.join(args.run_dir, "manifests")
+    names = sorted(n[:-5] for n in os.listdir(folder) if n.endswith(".json")) if os.path.isdir(folder) else []
+    of = lambda slugs: spark.createDataFrame([(s,) for s in slugs], "slug string")
+    wanted, done = of(pinned), of(names)
+    state = corpus.floor(wanted, done).first()
+    extra = materialize(corpus.extra(wanted, done), "extra")
+    print(f"{state['n_pinned'] - state['n_missing']} of {state['n_pinned']} pinned plugins have a manifest; {state['n_missing']} missing, {counts['fetch-failures']} not fetched, {extra.count()} not on the list")
+    for title, slugs in (("missing", corpus.missing(wanted, done)), ("not on the list", extra)):
+        if listed := corpus.shown(slugs).first()["listed"]:
+            print(f"{title}: {listed}")
+    if state["failed"]:
+        print(f"more than the {state['allowed']} that may be missing", file=sys.stderr)
+    return int(state["failed"])
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="residuum")
     sub = p.add_subparsers(dest="command", required=True)
@@ -218,7 +331,10 @@ def parser() -> argparse.ArgumentParser:
     add("grade", cmd_grade, "path")
     add("check", cmd_check, "path", fail_on={"default": "D"}, min_coverage={"type": float})
     add("diff", cmd_diff, "baseline", "path")
-    add("batch", cmd_batch, "directory", out={}, resume=on, report={})
+    limits = {"timeout": {"type": float}, "memory_limit": {}, "jobs": {"type": int}}
+    add("batch", cmd_batch, "directory", out={}, resume=on, report={}, **limits)
+    add("shard", cmd_shard, "pinned", "run_dir", shard={"type": int, "default": 0}, shards={"type": int, "default": 1}, cache={"default": ".cache"}, **limits)
+    add("assemble", cmd_assemble, "pinned", "run_dir")
     add("fetch", cmd_fetch, "slug", "version?", cache={"default": ".cache"}, quiet_path=on)
     add("index", cmd_index, "manifests", out={})
     add("uninstall", cmd_uninstall, "path")
@@ -227,7 +343,7 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
-    return args.run(spark or (None if args.command == "fetch" else _session()), args)
+    return args.run(spark or (None if args.command == "fetch" else _session(args)), args)
 
 
 if __name__ == "__main__":

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,9 +61,58 @@ def write_manifests(docs: DataFrame, folder: str) -> None:
     rows.foreachPartition(put)
 
 
-def write_lookup(lookup: DataFrame, folder: str) -> None:
-    """The reverse lookup as JSON lines (id, slugs), ordered by id."""
-    lookup.select("id", "slugs").orderBy("id").write.mode("overwrite").json(folder)
+def _stream(path: str, head: str, parts: Iterator[str], tail: str) -> None:
+    """``write_text`` of parts joined by commas, of which one is held at a time."""
+    folder = os.path.dirname(os.path.abspath(path))
+    os.makedirs(folder, exist_ok=True)
+    handle, part = tempfile.mkstemp(dir=folder, prefix=".", suffix=".part")
+    try:
+        with os.fdopen(handle, "w", encoding="utf-8") as f:
+            f.write(head)
+            for k, body in enumerate(parts):
+                f.write("," * (k > 0) + body)
+            f.write(tail)
+        os.replace(part, path)
+    except BaseException:
+        os.unlink(part)
+        raise
+
+
+def write_lookup(lookup: DataFrame, path: str) -> int:
+    """The reverse lookup as one compact JSON map from id to slugs, ordered by id; how many ids it has.
+
+    Rows come to the driver one partition after the other and go to the file as they come.
+    """
+    seen = 0
+
+    def parts() -> Iterator[str]:
+        nonlocal seen
+        for row in lookup.select("id", F.to_json("slugs").alias("slugs")).orderBy("id").toLocalIterator():
+            seen += 1
+            yield f"{json.dumps(row['id'], ensure_ascii=False)}:{row['slugs']}"
+
+    _stream(path, "{", parts(), "}")
+    return seen
+
+
+def write_violations(found: DataFrame, path: str) -> None:
+    """Breaches of the quality gates (category, item) as a JSON document with a list, ordered."""
+    rows = found.select(F.to_json(F.struct("category", "item")).alias("j"), "category", "item").orderBy("category", "item").toLocalIterator()
+    _stream(path, '{"violations": [', (row["j"] for row in rows), "]}\n")
+
+
+def merge_records(paths: list[str]) -> dict[str, dict]:
+    """JSON maps of several shards as one, ordered by key; of a key's records the first shard's counts."""
+    merged: dict[str, dict] = {}
+    for path in paths:
+        try:
+            with open(path, encoding="utf-8") as f:
+                record = json.load(f)
+        except (OSError, ValueError):
+            continue
+        if isinstance(record, dict):
+            merged = record | merged
+    return dict(sorted(merged.items()))
 
 
 def write_record(rows: DataFrame, path: str) -> None:

@@ -179,3 +179,48 @@ def test_stream(spark, tmp_path):
     query = streaming.keep_lookup(streaming.stream(spark, str(folder)), str(tmp_path / "out"), str(tmp_path / "cp"))
     query.awaitTermination(120)
     assert [(r["slug"], r["type"], r["key"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("s", "option", "k")]
+
+
+def test_shards_and_the_floor(spark, tmp_path, monkeypatch, capsys):
+    body = lambda slug: archive({f"{slug}.php": f"<?php\n/* Plugin Name: {slug}\nVersion: 1.0 */ update_option('{slug}_o', 1);"})
+
+    def get(url):
+        slug = url.rpartition("/")[2].split(".")[0]
+        if slug == "gone":
+            raise archives.FetchError("404")
+        return body(slug)
+
+    monkeypatch.setattr(archives.fetch, "__defaults__", (get,))
+    pinned = tmp_path / "pinned.json"
+    pinned.write_text(json.dumps({"acme": "1.0", "gone": "1.0", "bolt": "1.0"}))
+    run = tmp_path / "run"
+    for shard in ("0", "1"):
+        assert cli.main(["shard", str(pinned), str(run), "--shard", shard, "--shards", "2", "--cache", str(tmp_path / "cache")], spark) == 0
+    assert sorted(p.name for p in (run / "manifests").glob("*.json")) == ["acme.json", "bolt.json"]
+    # One of three may be missing.
+    assert cli.main(["assemble", str(pinned), str(run)], spark) == 0
+    out = capsys.readouterr().out
+    assert "2 of 3 pinned plugins have a manifest; 1 missing, 1 not fetched, 0 not on the list" in out and "missing: gone" in out
+    (run / "manifests" / "bolt.json").rename(run / "manifests" / "old.json")
+    assert cli.main(["assemble", str(pinned), str(run)], spark) == 1
+    out = capsys.readouterr()
+    assert "missing: bolt, gone" in out.out and "not on the list: old" in out.out and "more than the 1" in out.err
+    (run / "manifests" / "old.json").rename(run / "manifests" / "bolt.json")
+    assert sorted(json.loads((run / "provenance.json").read_text())) == ["acme", "bolt"]
+    assert json.loads((run / "fetch-failures.json").read_text())["gone"]["version"] == "1.0"
+    assert cli.main(["assemble", str(tmp_path / "none.json"), str(run)], spark) == 1
+    assert cli.main(["shard", str(pinned), str(run), "--shard", "2", "--shards", "2"], spark) == 2
+    assert cli.main(["index", str(run / "manifests"), "--out", str(tmp_path / "index")], spark) == 0
+    assert json.loads((tmp_path / "index" / "reverse-lookup.json").read_text()) == {"option:acme_o": ["acme"], "option:bolt_o": ["bolt"]}
+
+
+def test_slow_plugins_fail_alone(spark, tmp_path):
+    for slug, body in (("slow", "<?php " + "if ($a) {" * 3000 + "}" * 3000 + "elseif ($b) {} " * 20000), ("good", "<?php update_option('a', 1);")):
+        (tmp_path / slug).mkdir()
+        (tmp_path / slug / "a.php").write_text(body)
+    (tmp_path / "empty").mkdir()
+    report = tmp_path / "report.json"
+    assert cli.main(["batch", str(tmp_path), "--out", str(tmp_path / "out"), "--timeout", "0.5", "--report", str(report)], spark) == 1
+    told = json.loads(report.read_text())
+    assert told["scanned"] == 1 and sorted(told["failed"]) == ["empty", "slow"] and "0.5 seconds" in told["failed"]["slow"]
+    assert os.path.exists(tmp_path / "out" / "good.json") and not os.path.exists(tmp_path / "out" / "slow.json")
