@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from residuum.functions import paths, sqltext, text
-from residuum.operators import bridge, cleanup, corpus, diff, dims, generator, grading, graph, index, manifest, oracle, resolve, symbols, synth, wrappers
+from residuum.operators import bridge, cases, cleanup, corpus, diff, dims, generator, grading, graph, index, manifest, oracle, resolve, symbols, synth, wrappers
 from residuum.plans.tables import materialize, table
 
 NOW = "2025-01-01T00:00:00Z"
@@ -428,5 +428,6 @@ QUERIES = {
     "manifest_roundtrip": _roundtrip,
     "corpus_stats": _stats,
     **synth.QUERIES,
+    **cases.QUERIES,
 }
-ORACLES = oracle.ORACLES | synth.ORACLES
+ORACLES = oracle.ORACLES | synth.ORACLES | cases.ORACLES
