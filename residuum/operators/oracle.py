@@ -251,6 +251,39 @@ SELECT slug, bucket, key, CASE WHEN bool_or(c = 'wp_unschedule_hook') THEN 'wp_u
       WHEN 'post_meta' THEN 'meta' WHEN 'table' THEN 'tables' WHEN 'cron' THEN 'cron' ELSE 'content' END AS bucket,
     CASE WHEN type = 'cron' THEN CASE WHEN has_args THEN 'wp_unschedule_hook' ELSE 'wp_clear_scheduled_hook' END WHEN type = 'post_meta' THEN 'post' ELSE type END AS c
   FROM cleaned WHERE key IS NOT NULL AND confidence IN ('verified', 'resolved') AND NOT core AND NOT cleaned) GROUP BY slug, bucket, key"""),
+    "generator_teardown": sql(r"""
+SELECT slug, concat('<?php', nl, '/** Generated uninstall routine for ', upper(slug), '. Review before shipping. */', nl, 'defined(''WP_UNINSTALL_PLUGIN'') || exit;', nl,
+    CASE WHEN own IS NULL THEN '' ELSE concat(nl, '$each_site = static function (): void {', nl, CASE WHEN db THEN '    global $wpdb;' || nl ELSE '' END, own, '};', nl, 'if (is_multisite()) {', nl,
+      '    foreach (get_sites([''fields'' => ''ids'', ''number'' => 0]) as $site) {', nl, '        switch_to_blog((int) $site);', nl, '        $each_site();', nl, '        restore_current_blog();', nl,
+      '    }', nl, '} else {', nl, '    $each_site();', nl, '}', nl) END, coalesce(rest, '')) AS text
+FROM (
+  SELECT slug, chr(10) AS nl, bool_or(place = 2) AS db, string_agg(chr(10) || '    // ' || head || chr(10) || lines, '' ORDER BY place) FILTER (place < 10) AS own,
+    string_agg(chr(10) || '// ' || head || chr(10) || lines, '' ORDER BY place) FILTER (place >= 10) AS rest
+  FROM (
+    SELECT slug, place, any_value(head) AS head, string_agg(CASE WHEN place < 10 THEN '    ' ELSE '' END || line || chr(10), '' ORDER BY key) AS lines
+    FROM (
+      SELECT slug, key, place, any_value(head) AS head, CASE WHEN place = 3 AND bool_or(has_args) THEN 'wp_unschedule_hook(''' || key || ''');' ELSE any_value(line) END AS line
+      FROM (
+        SELECT slug, key, has_args, CASE WHEN type = 'option' AND scope = 'network' THEN 10 WHEN type = 'transient' AND scope = 'network' THEN 11
+            ELSE CASE type WHEN 'option' THEN 1 WHEN 'table' THEN 2 WHEN 'cron' THEN 3 WHEN 'transient' THEN 4 WHEN 'post_meta' THEN 5 ELSE 12 END END AS place,
+          CASE WHEN type = 'option' AND scope = 'network' THEN 'Network options' WHEN type = 'transient' AND scope = 'network' THEN 'Network transients'
+            ELSE CASE type WHEN 'option' THEN 'Options' WHEN 'table' THEN 'Custom tables' WHEN 'cron' THEN 'Scheduled events' WHEN 'transient' THEN 'Transients' WHEN 'post_meta' THEN 'Metadata, of every object'
+              ELSE 'Left behind on purpose, as removal could destroy data' END END AS head,
+          CASE type WHEN 'option' THEN CASE WHEN scope = 'network' THEN 'delete_site_option' ELSE 'delete_option' END || '(''' || key || ''');'
+            WHEN 'transient' THEN CASE WHEN scope = 'network' THEN 'delete_site_transient' ELSE 'delete_transient' END || '(''' || key || ''');'
+            WHEN 'table' THEN '$wpdb->query(''DROP TABLE IF EXISTS `'' . str_replace(''`'', ''``'', ''' || key || ''') . ''`'');'
+            WHEN 'cron' THEN 'wp_clear_scheduled_hook(''' || key || ''');' WHEN 'post_meta' THEN 'delete_post_meta_by_key(''' || key || ''');'
+            ELSE '// - rewrite rule "' || key || '"' END AS line
+        FROM cleaned WHERE key IS NOT NULL AND confidence IN ('verified', 'resolved') AND NOT core AND NOT cleaned)
+      GROUP BY slug, key, place)
+    GROUP BY slug, place)
+  GROUP BY slug)"""),
+    "corpus_stats": sql(f"""
+SELECT concat('{{"generated_at":"2025-01-01T00:00:00Z","plugins":', (SELECT count(*) FROM slugs), ',"grades":{{', (SELECT string_agg('"' || letter || '":' || n, ',' ORDER BY letter) FROM (SELECT letter, count(*) AS n FROM graded GROUP BY letter)),
+  '}},"coverage":{{"write_calls":', w, ',"resolved_calls":', r, ',"resolution_rate":', {RATE.format(p="r", t="w")}, '}},"artifacts":{{"artifacts":', a, ',"cleaned":', c, ',"left_behind":', a - c, ',"distinct_artifacts":', u,
+  ',"left_by_type":{{', (SELECT string_agg('"' || type || '":' || n, ',' ORDER BY type) FROM (SELECT type, count(*) AS n FROM creates WHERE NOT cleaned GROUP BY type)),
+  '}}}},"cleanup":{{"with_path":', (SELECT count(*) FILTER (has_path) FROM paths), ',"conditional":', (SELECT count(*) FILTER (conditional) FROM paths), '}}}}') AS doc
+FROM (SELECT sum(write_calls) AS w, sum(n_verified + n_resolved) AS r FROM cov), (SELECT count(*) AS a, count(*) FILTER (cleaned) AS c, count(DISTINCT type || ':' || key) AS u FROM creates)"""),
     "snapshot_diff": """
 WITH a AS (SELECT o_custkey AS g, list(DISTINCT o_orderpriority) FILTER (o_orderstatus = 'O') AS b, list(DISTINCT o_orderpriority) FILTER (o_orderstatus = 'F') AS c, list(DISTINCT o_orderpriority) FILTER (o_orderstatus = 'P') AS d FROM orders GROUP BY 1),
 n AS (SELECT g, coalesce(b, []) AS b, coalesce(c, []) AS c, coalesce(d, []) AS d FROM a)
