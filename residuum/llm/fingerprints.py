@@ -193,3 +193,16 @@ def query(spark, sf_dir):
             likeness(own, following).alias("near_next"),
         )
     )
+
+
+def edited_query(spark, sf_dir):
+    """Every document's length and the hash of its edited text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", whole(F.col("text")).alias("text"))
+    edited = edited_text(F.col("text"), F.col("next.text"))
+    return with_next(docs).select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"))
+
+
+EDITED_ORACLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents),
+x AS (SELECT *, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS f FROM d)
+SELECT doc_id, n AS n_chars, sha256(substr(t, 1, n - n // 2) || substr(f, 1, n // 2)) AS edited_sha256 FROM x"""

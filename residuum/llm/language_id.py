@@ -12,7 +12,9 @@ Every declared language is a class; "EN", "en" and "en-US" are one. Declarations
 and suffixes that are too rare for counts of their own share those of one pool.
 
 A text without letters has no language: "und", rejected. A null, empty or "und"
-declaration and a null suffix or host are no evidence. Repeated rows count as often as they stand.
+declaration and a null suffix or host are no evidence. Very long texts are read whole. Of equal
+posteriors the language that comes first by name wins. Repeated rows count as often as they stand.
+The filter keeps columns of any names apart in a struct; other columns are ignored. No rows in, no rows out.
 Without any declared language no text gets one.
 """
 

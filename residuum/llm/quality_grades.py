@@ -9,7 +9,8 @@ better, by which texts are selected.
 Ratings come from labels: 0 for low quality, 1 for good but toxic, 2 for good.
 Null and empty texts have no features but "empty" and are judged by it. Without
 labels all weights are zero and nothing is selected against. Repeated rows are
-judged alike.
+judged alike. Very long texts are read whole, in memory that grows with them;
+ids may have any type, and other columns any names. No rows in, no rows out.
 """
 
 from __future__ import annotations

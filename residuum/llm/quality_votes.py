@@ -222,3 +222,22 @@ def query(spark, sf_dir):
     q, model = F.col("quality"), fit_votes(found)
     base = [q[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return judge(found, model).select("doc_id", *base, "base_failed", "p_good", "kept")
+
+
+def base_query(spark, sf_dir):
+    """Every document's base counts and base test."""
+    q = F.col("quality")
+    found = with_features(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *(q[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), base_failed(q).alias("base_failed"))
+
+
+BASE_ORACLE = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+v AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) > 7)),
+r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM v) WHERE n > 1),
+c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, (SELECT unnest(range(0, 8)) AS k) GROUP BY doc_id)
+SELECT w.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+  CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(ws) < 20 OR 100 * coalesce(c.n, 0) > 30 * len(ws) AS base_failed
+FROM w LEFT JOIN c ON w.doc_id = c.doc_id"""

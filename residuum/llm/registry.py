@@ -15,9 +15,16 @@ QUERIES = {
     "op8_url_filters": url_rules.query,
     "op9_quality_rules": quality_votes.query,
     "op10_jaccard_join": jaccard_join.query,
+    # Parts of operators that SQL can say too.
+    "mix_targets": source_mix.targets_query,
+    "edited_texts": fingerprints.edited_query,
+    "quality_base_counts": quality_votes.base_query,
 }
 ORACLES = {
     "op2_html_text": html_text.ORACLE,
     "op8_url_filters": url_rules.ORACLE,
     "op10_jaccard_join": jaccard_join.ORACLE,
+    "mix_targets": source_mix.TARGETS_ORACLE,
+    "edited_texts": fingerprints.EDITED_ORACLE,
+    "quality_base_counts": quality_votes.BASE_ORACLE,
 }

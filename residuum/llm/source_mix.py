@@ -10,8 +10,9 @@ settle (two units at most) meets the rest of its source at the next level, and
 in the end a landing problem of a dozen small documents is left per source.
 
 Rows with the same doc_id, source and size are one unit: taken or left together.
-Null texts have size 0; a null source is a source, the last one. No rows in, no
-rows out.
+Null texts have size 0; a null source is a source, the last one. Very long texts
+count with all their words. Other columns are ignored, whatever their names. No
+rows in, no rows out.
 """
 
 from __future__ import annotations
@@ -210,3 +211,20 @@ def query(spark, sf_dir):
     """The mix of all documents."""
     found = mix(materialize(sizes(table(spark, sf_dir, "documents")), "mix-sizes"))
     return found.select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
+
+
+def targets_query(spark, sf_dir):
+    """Each source's size, documents and target."""
+    return targets(sizes(table(spark, sf_dir, "documents"))).select("source", "source_size", "n_docs", "target")
+
+
+#: Sources in the order in which a rising level cuts them; the level that cuts as many as it must.
+TARGETS_ORACLE = r"""
+WITH s AS (
+  SELECT source, count(*) AS n_docs, sum(len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS size FROM documents GROUP BY source),
+w AS (SELECT *, [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS weight FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY size / weight, source NULLS LAST) AS i FROM w),
+c AS (
+  SELECT *, sum(2 * size) OVER (ORDER BY i) - 2 * size AS cut, sum(weight) OVER (ORDER BY i DESC) AS free, (SELECT 1.5::DOUBLE * sum(size) FROM s) AS share FROM o),
+l AS (SELECT (arg_min(share - cut, i)) / arg_min(free, i) AS level FROM c WHERE weight * ((share - cut) / free) < 2 * size)
+SELECT source, CAST(size AS BIGINT) AS source_size, n_docs, least(CAST(2 * size AS DOUBLE), coalesce((SELECT level FROM l) * weight, CAST(2 * size AS DOUBLE))) AS target FROM w"""

@@ -2,8 +2,11 @@
 
 Each word has a score: its log-odds between toxic and other texts under
 Dirichlet priors. A word's prior leans on its stem (its first letters), the
-stem's on the corpus, so that unseen forms of a toxic stem score too. Scores
-are shifted so that ordinary text drifts down; a single pass then finds every
+stem's on the corpus, so that unseen forms of a toxic stem score too. Only words
+and stems that are surely more frequent in toxic texts keep a score; all others
+share one small negative score, so that ordinary text drifts down (scores of
+their own for rare clean words, of which a bounded sample sees few, would break
+up passages by chance). A single pass then finds every
 maximal segment, the passages whose words score highest together. What such a
 segment would score by chance follows an extreme-value law whose rate and scale
 come from ordinary texts (Karlin and Altschul). A text's segments are added up

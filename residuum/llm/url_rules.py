@@ -4,6 +4,11 @@ A rule needs some literal tokens (runs of letters and digits, whole ones) in
 every URL that it fits. It is filed under the one of them that the fewest URLs
 have. A URL's own tokens fetch its candidate rules; only those run their
 regular expression. Cost per URL follows the candidates, not the rule set.
+
+A null, empty or odd URL has an empty host and path and fits no rule; very long
+ones are read whole. Of rules of equal rank the later text wins. Repeated rows
+stay. Other columns stay too, but host, path and what the verdict adds replace
+columns of these names. No rows in, no rows out.
 """
 
 from __future__ import annotations
