@@ -47,6 +47,8 @@ from residuum.plans.tables import materialize, ship, table
 RUN = 8
 MIN_PAGES = 3
 CHUNK = 256
+#: Compression of parsed pages on their way to their host's tasks; shuffle files take most of the disk.
+PACK_LEVEL = 5
 #: Blocks at each end of an article that may belong to the template, and pages that must have them there at least.
 EDGE = 2
 TEMPLATE_PAGES = 5
@@ -467,7 +469,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _pack(pages: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, pages.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, pages.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", PACK_LEVEL))) as out:
         out.write_table(pages)
     return sink.getvalue().to_pybytes()
 
