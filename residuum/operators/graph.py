@@ -19,27 +19,31 @@ def fold_file(file: Column) -> Column:
     return fold(F.translate(file, "\\", "/"))
 
 
-def reachable(roots: DataFrame, edges: DataFrame) -> DataFrame:
-    """(slug, node) reachable from ``roots`` over ``edges`` (slug, src, dst), roots included.
-
-    Semi-naive: each round joins only the last round's new nodes and drops those
-    seen. Rounds are written out, so the plan stays one join deep however long
-    the paths are, and cycles end when nothing is new.
+def reachable(roots: DataFrame, edges: DataFrame, *marks: str) -> DataFrame:
+    """(slug, *marks, node) reachable from ``roots`` over ``edges`` (slug, src, dst), roots included.
+
+    Roots with different values of the columns ``marks`` are closed apart, over
+    the same edges and in the same rounds. Semi-naive: each round joins only the
+    last round's new nodes and drops those seen. Rounds are written out, so the
+    plan stays one join deep however long the paths are, and cycles end when
+    nothing is new.
     """
+    names = ["slug", *marks, "node"]
     edges = materialize(edges.filter("src is not null and dst is not null").distinct(), "edges")
-    frontier = materialize(roots.select("slug", "node").filter("node is not null").distinct(), "reached")
+    frontier = materialize(roots.select(names).filter("node is not null").distinct(), "reached")
     seen = frontier
     while not frontier.isEmpty():
-        step = frontier.join(edges, [frontier["slug"] == edges["slug"], frontier["node"] == edges["src"]]).select(frontier["slug"], edges["dst"].alias("node"))
-        frontier = materialize(step.distinct().join(seen, ["slug", "node"], "left_anti"), "reached")
+        met = frontier.join(edges, [frontier["slug"] == edges["slug"], frontier["node"] == edges["src"]])
+        step = met.select(frontier["slug"], *(frontier[m] for m in marks), edges["dst"].alias("node"))
+        frontier = materialize(step.distinct().join(seen, names, "left_anti"), "reached")
         seen = seen.unionByName(frontier)
     return seen
 
 
-def reachable_functions(roots: DataFrame, calls: DataFrame) -> DataFrame:
-    """(slug, node): what runs when the callees of ``roots`` run; calls at a file's top level don't lead on."""
+def _reachable_functions(roots: DataFrame, calls: DataFrame, *marks: str) -> DataFrame:
+    """(slug, *marks, node): what runs when the callees of ``roots`` run; calls at a file's top level don't lead on."""
     edges = calls.filter("from_fn is not null").select("slug", fold(F.col("from_fn")).alias("src"), fold(F.col("to_fn")).alias("dst"))
-    return reachable(roots.select("slug", fold(F.col("callee")).alias("node")), edges)
+    return reachable(roots.select("slug", *marks, fold(F.col("callee")).alias("node")), edges, *marks)
 
 
 def uninstall_files(slugs: DataFrame, requires: DataFrame) -> DataFrame:
@@ -48,16 +52,31 @@ def uninstall_files(slugs: DataFrame, requires: DataFrame) -> DataFrame:
     return reachable(slugs.select("slug", F.lit(UNINSTALL_FILE).alias("node")), edges)
 
 
-def scoped_functions(callbacks: DataFrame, calls: DataFrame, files: DataFrame) -> DataFrame:
-    """(slug, node): functions that run on uninstall.
-
-    Roots are the uninstall callbacks and what the top level of an uninstall file calls.
-    """
+def _uninstall_roots(callbacks: DataFrame, calls: DataFrame, files: DataFrame) -> DataFrame:
+    """(slug, callee): the uninstall callbacks, and what the top level of an uninstall file calls."""
     top = calls.filter("from_fn is null").select("slug", fold_file(F.col("file")).alias("node"), F.col("to_fn").alias("callee"))
     called = top.join(files, ["slug", "node"], "left_semi").select("slug", "callee")
-    return reachable_functions(callbacks.filter("kind = 'uninstall'").select("slug", "callee").unionByName(called), calls)
+    return callbacks.filter("kind = 'uninstall'").select("slug", "callee").unionByName(called)
+
+
+def _deactivation_roots(callbacks: DataFrame) -> DataFrame:
+    return callbacks.filter("kind = 'deactivation'").select("slug", "callee")
+
+
+def scoped_functions(callbacks: DataFrame, calls: DataFrame, files: DataFrame) -> DataFrame:
+    """(slug, node): functions that run on uninstall."""
+    return _reachable_functions(_uninstall_roots(callbacks, calls, files), calls)
 
 
 def deactivation_functions(callbacks: DataFrame, calls: DataFrame) -> DataFrame:
     """(slug, node): functions that run on deactivation."""
-    return reachable_functions(callbacks.filter("kind = 'deactivation'").select("slug", "callee"), calls)
+    return _reachable_functions(_deactivation_roots(callbacks), calls)
+
+
+def running_functions(callbacks: DataFrame, calls: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``scoped_functions`` and ``deactivation_functions``, closed together."""
+    mark = lambda roots, on: roots.withColumn("runs_on", F.lit(on))
+    roots = mark(_uninstall_roots(callbacks, calls, files), "uninstall").unionByName(mark(_deactivation_roots(callbacks), "deactivation"))
+    found = _reachable_functions(roots, calls, "runs_on")
+    of = lambda on: found.filter(F.col("runs_on") == on).select("slug", "node")
+    return of("uninstall"), of("deactivation")

@@ -37,7 +37,7 @@ def _files(spark, d):
 def _closures(spark, d):
     """Uninstall files, scoped functions and functions that run on deactivation."""
     files, calls, hooks = _files(spark, d), bridge.call_edges(spark, d), bridge.callbacks(spark, d)
-    return files, graph.scoped_functions(hooks, calls, files), graph.deactivation_functions(hooks, calls)
+    return files, *graph.running_functions(hooks, calls, files)
 
 
 def _cleaned(spark, d, closures=None):
